@@ -47,7 +47,8 @@ def attack_events(
 ) -> DataFrame:
     """Every event inside an attack's time span on its drive, with ``attack_no``, ``start_us`` and ``end_us``.
 
-    ``slots`` lets a caller reuse a stored attack table. Rows of one drive are spread over its slots by the join.
+    ``scored`` is read twice; start from a stored table such as the audit trail. ``slots`` lets a caller reuse a
+    stored attack table. Rows of one drive are spread over its slots by the join.
     """
     found = attack_slots(scored, decision, gap_seconds) if slots is None else slots
     placed = with_event_time(scored).withColumn("slot", slot(F.col("ts_us"), gap_seconds * MICROS))

@@ -51,10 +51,19 @@ def hmm_state(sequences: DataFrame, params: HmmParams = HmmParams()) -> DataFram
     """Add ``state`` and ``malicious``: the most likely last state of each full entropy sequence.
 
     Only the last state is used, so the recursion needs no back pointers and, for two states, only the lead of state 1
-    over state 0. It is written out step by step as columns that refer to the one before, which stay in generated
-    code; ties go to state 0. Both columns are NULL while the sequence is not full.
+    over state 0. One step maps the lead d to max(a01, d + a11) - max(a00, d + a10), which is d (or, when states
+    rather alternate than last, -d) shifted and clamped between two constants. Written that way each step names the
+    one before it once, so the columns stay in generated code and stay small when the optimizer merges them. Ties go
+    to state 0. Both columns are NULL while the sequence is not full.
     """
-    (a00, a01), (a10, a11) = [[F.lit(log(p)) for p in row] for row in params.a]
+    (a00, a01), (a10, a11) = [[log(p) for p in row] for row in params.a]
+    from_0, from_1 = a01 - a00, a11 - a10
+
+    def moved(d: Column) -> Column:
+        if from_0 <= from_1:
+            return F.least(F.greatest(d + F.lit(a11 - a00), F.lit(from_0)), F.lit(from_1))
+        return F.least(F.greatest(F.lit(a01 - a10) - d, F.lit(from_1)), F.lit(from_0))
+
     steps = []
     for i in range(params.length):
         x = F.col("entropies")[i]
@@ -62,8 +71,7 @@ def hmm_state(sequences: DataFrame, params: HmmParams = HmmParams()) -> DataFram
         if i == 0:
             lead = F.lit(log(params.pi[1]) - log(params.pi[0])) + gain
         else:
-            d = F.col(f"_lead{i - 1}")
-            lead = F.greatest(a01, d + a11) - F.greatest(a00, d + a10) + gain
+            lead = moved(F.col(f"_lead{i - 1}")) + gain
         steps.append(lead.alias(f"_lead{i}"))
     state = (F.col(f"_lead{params.length - 1}") > 0).cast("int")
     return sequences.select("*", *steps, state.alias("state")).select(

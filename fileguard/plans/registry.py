@@ -23,6 +23,7 @@ from fileguard.operators import (
 from fileguard.plans import adapters, detection
 from fileguard.plans.oracles import PARAMS, SINCE_ID
 from fileguard.schemas import FEATURES
+from fileguard.session import cut_lineage
 from fileguard.sources.events import events_recent, events_since
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +62,10 @@ def _alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _attacked(spark: SparkSession, d: str) -> DataFrame:
-    return forensics.attack_events(_scored(spark, d), PARAMS.decision)
+    """Forensics read the scored events twice, so they start from a stored copy with the columns they use."""
+    kept = ("id", "ts_us", "drive_id", "stable_id", "event_type", "local_title", "full_path", "previous_title")
+    stored = cut_lineage(_scored(spark, d).select(*kept, "file_name_entropy", "fused", "malicious"))
+    return forensics.attack_events(stored, PARAMS.decision)
 
 
 def _guessed(spark: SparkSession, d: str) -> DataFrame:
@@ -522,8 +526,6 @@ def feature_attribution(spark, d):
 
 @query
 def train_hmm(spark, d):
-    from fileguard.session import cut_lineage
-
     sequences = cut_lineage(models.hmm_sequences(adapters.labelled_features(spark, d)).select("sequence"))
     params, history = hmm.train_hmm(sequences, max_steps=15)
     fitted = hmm.model_frame(spark, params, "labelled")
