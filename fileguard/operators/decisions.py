@@ -224,20 +224,25 @@ def _iso_time(ts_us: Column) -> Column:
 
 
 def alerts(
-    batches: DataFrame, decision: DecisionParams = DecisionParams(), paused_before: Column | None = None
+    batches: DataFrame, decision: DecisionParams = DecisionParams(), history: DataFrame | None = None
 ) -> DataFrame:
     """Alert records: gate, cooldown, level, affected files, triggering event and whether sync was already paused.
 
     Sync counts as paused once an earlier alert of the drive reached HIGH; alerts are at least one cooldown apart, so
     the window holds at most span / cooldown rows per drive. The gated batches (at most one row per drive and poll)
-    are checkpointed, because the cooldown reads them several times.
+    are checkpointed, because the cooldown reads them several times. ``history`` (drive_id, ts_us, paused) holds each
+    drive's last earlier alert when the batches continue an earlier run.
     """
-    kept = alert_cooldown(cut_lineage(alert_gate(batches, decision)), "ts_us", decision, order="batch")
+    gated = alert_gate(batches, decision).withColumns({"_old": F.lit(False), "_paused": F.lit(False)})
+    if history is not None:
+        earlier_rows = history.select("drive_id", "ts_us", F.lit(True).alias("_old"), F.col("paused").alias("_paused"))
+        gated = gated.unionByName(earlier_rows, allowMissingColumns=True)
+    kept = alert_cooldown(cut_lineage(gated), "ts_us", decision, order="batch")
     leveled = kept.withColumn("threat_level", threat_level(F.col("threat"), decision))
     earlier = Window.partitionBy("drive_id").orderBy("ts_us").rowsBetween(Window.unboundedPreceding, -1)
-    pauses = F.col("threat_level").isin("HIGH", "CRITICAL")
-    paused = F.coalesce(F.bool_or(pauses).over(earlier), F.lit(False))
-    return leveled.select(
+    pauses = F.col("_paused") | F.col("threat_level").isin("HIGH", "CRITICAL")
+    marked = leveled.withColumn("sync_paused", F.coalesce(F.bool_or(pauses).over(earlier), F.lit(False)))
+    return marked.where(~F.col("_old")).select(
         "drive_id",
         "batch",
         "ts_us",
@@ -246,7 +251,7 @@ def alerts(
         F.col("threat").alias("probability"),
         "affected_files_count",
         F.col("trigger").alias("triggering_event"),
-        (paused if paused_before is None else paused | paused_before).alias("sync_paused"),
+        "sync_paused",
     )
 
 

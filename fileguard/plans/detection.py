@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileguard.functions.time import with_event_time
-from fileguard.operators.decisions import alerts, batch_threat
+from fileguard.operators.decisions import alerts, batch_threat, threat_level
 from fileguard.operators.detectors import batch_flags, detector_flags, with_batch
-from fileguard.operators.features import file_features
+from fileguard.operators.features import feature_columns, file_features
 from fileguard.operators.fusion import event_scores, fused_scores
 from fileguard.operators.hmm import entropy_sequence, hmm_state
 from fileguard.operators.models import classifier_scores
@@ -69,10 +69,18 @@ def detect(
     return alerts(batch_threat(scored, params.decision, params.scan), params.decision)
 
 
+def scored_with_context(
+    rows: DataFrame, params: EngineParams = EngineParams(), sep: str = "/", model=None
+) -> DataFrame:
+    """Like ``scored_events`` for rows that already carry ``previous_title``: a slice of events and what precedes it."""
+    base = with_event_time(rows)
+    features = detector_flags(base, params.detector, params.scan).withColumns(feature_columns(sep))
+    fused = with_scores(features, params, model)
+    return hmm_state(entropy_sequence(fused, params.hmm.length, params.scan, base=base), params.hmm)
+
+
 def level_counts(events: DataFrame, params: EngineParams = EngineParams(), sep: str = "/") -> DataFrame:
     """Per drive and threat level of the poll batches: batches, events, model hits and largest threat."""
-    from fileguard.operators.decisions import threat_level
-
     batches = batch_threat(scored_events(events, params, sep), params.decision, params.scan)
     return (
         batches.withColumn("threat_level", threat_level(F.col("threat"), params.decision))

@@ -449,10 +449,11 @@ def build() -> dict[str, str]:
       st as (select len, ns, avg(case when label=1 then mean end) as m1, avg(case when label=0 then mean end) as m0,
              var_pop(case when label=1 then mean end) as v1, var_pop(case when label=0 then mean end) as v0,
              count(case when label=1 then 1 end) as n1, count(case when label=0 then 1 end) as n0 from tr group by len, ns),
-      gp as (select x.len, x.ns, max(abs(
-          (select count(*) from tr y where y.len=x.len and y.ns=x.ns and y.label=0 and y.mean<=x.mean)/st.n0::double -
-          (select count(*) from tr y where y.len=x.len and y.ns=x.ns and y.label=1 and y.mean<=x.mean)/st.n1::double)) as ks
-        from tr x join st on st.len=x.len and st.ns=x.ns where st.n0>0 and st.n1>0 group by x.len, x.ns)
+      cu as (select tr.len, tr.ns,
+             sum(case when label=0 then 1 else 0 end) over (partition by tr.len, tr.ns order by mean)/st.n0::double as f0,
+             sum(case when label=1 then 1 else 0 end) over (partition by tr.len, tr.ns order by mean)/st.n1::double as f1
+        from tr join st on st.len=tr.len and st.ns=tr.ns where st.n0>0 and st.n1>0),
+      gp as (select len, ns, max(abs(f0-f1)) as ks from cu group by len, ns)
       select cast(st.len as int) as sequence_length, cast(st.ns as int) as n_sequences, round(coalesce(ks,0.0),6) as ks,
         round(case when ks is null then 0.0 else (m1-m0)/(sqrt((v0+v1)/2.0)+1e-10) end,4) as cohens_d
       from st left join gp on gp.len=st.len and gp.ns=st.ns"""
