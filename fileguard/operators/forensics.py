@@ -137,15 +137,13 @@ def attack_profile(events: DataFrame) -> DataFrame:
         F.first("start_us").alias("start_us"),
         F.first("end_us").alias("end_us"),
     )
-    commonest = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("extension"))
-    ranked = by_ext.withColumn("rank", F.row_number().over(commonest))
     seconds = F.greatest((F.max("end_us") - F.min("start_us")) / F.lit(float(MICROS)), F.lit(1.0))
     total = F.sum("n").cast("double")
-    return ranked.groupBy(*keys).agg(
+    return by_ext.groupBy(*keys).agg(
         (total / seconds).alias("events_per_second"),
         (F.sum("renames") / total).alias("rename_share"),
         (F.sum("entropy") / total).alias("mean_entropy"),
-        F.max(F.when(F.col("rank") == 1, F.col("extension"))).alias("dominant_extension"),
+        F.min_by("extension", F.struct(-F.col("n"), F.col("extension"))).alias("dominant_extension"),
     )
 
 

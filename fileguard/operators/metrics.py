@@ -118,12 +118,11 @@ def roc_auc(scored: DataFrame, score: str = "score") -> DataFrame:
     )
 
 
-def with_totals_below(rows: DataFrame, order: str, values: list[str], ranges: int = 1024) -> DataFrame:
-    """Add ``<value>_below``: the sum of ``value`` over rows with a strictly smaller ``order`` (distinct doubles).
+def place_in_ranges(rows: DataFrame, order: str, ranges: int) -> DataFrame:
+    """Add ``_range``, which does not decrease along ``order`` and cuts the rows into about equally large parts.
 
-    The order column is cut at approximate quantiles, so the ranges hold similar numbers of rows whatever the
-    distribution; running sums are taken inside a range, and the at most ``ranges`` subtotals are put in order and
-    added. ``ranges`` is a power of two: each row finds its range by binary search, one projection per halving.
+    The column is cut at approximate quantiles, so skewed values spread evenly too. ``ranges`` is a power of two:
+    each row finds its range by binary search, one projection per halving.
     """
     cuts = rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 8 * ranges)).scalar()
     placed = rows.withColumn("_cuts", cuts).withColumn("_range", F.lit(0))
@@ -132,7 +131,16 @@ def with_totals_below(rows: DataFrame, order: str, values: list[str], ranges: in
         beyond = F.col(order) > F.col("_cuts")[F.col("_range") + (half - 1)]
         placed = placed.withColumn("_range", F.col("_range") + F.when(beyond, half).otherwise(0))
         half //= 2
-    placed = placed.drop("_cuts")
+    return placed.drop("_cuts")
+
+
+def with_totals_below(rows: DataFrame, order: str, values: list[str], ranges: int = 1024) -> DataFrame:
+    """Add ``<value>_below``: the sum of ``value`` over rows with a strictly smaller ``order`` (distinct doubles).
+
+    Running sums are taken inside each range of ``order``, and the at most ``ranges`` subtotals are put in order and
+    added.
+    """
+    placed = place_in_ranges(rows, order, ranges)
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carry = (

@@ -44,11 +44,11 @@ def stratified_split(
     """Add ``split``: in each class the first ``test_share`` of the rows in seeded order are 'test', the rest 'train'.
 
     The rank within a class is exact but no class is one task: hash keys spread evenly, so each class is cut by the
-    key's first four hex digits, ranked inside, and offset by the counts of the cuts before it (at most 65,536 rows
+    key's first five hex digits, ranked inside, and offset by the counts of the cuts before it (at most 2^20 rows
     per class).
     """
     keyed = labelled.withColumn("_key", seeded_key(row_id, seed))
-    cut = F.conv(F.substring("_key", 1, 4), 16, 10).cast("bigint")
+    cut = F.conv(F.substring("_key", 1, 5), 16, 10).cast("bigint")
     ranked = running_totals(
         keyed.withColumns({"_chunk": cut, "_rank": F.lit(1).cast("bigint")}), "label", ["_key", row_id], ["_rank"]
     )

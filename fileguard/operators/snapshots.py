@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fileguard.functions.text import join_path
+from fileguard.operators.scans import running_totals
 
 _ATTRIBUTES = ["local_title", "modified_date", "file_size", "trashed"]
 
@@ -148,14 +149,21 @@ def snapshot_chain(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def as_file_events(diff: DataFrame, timestamp: Column, first_id: Column) -> DataFrame:
-    """Give diff rows of one poll their time and arrival ids: ``first_id`` onwards, in file-id order within a drive.
+def as_file_events(
+    diff: DataFrame, timestamp: Column, first_id: Column, ids_per_chunk: int = 1_000_000
+) -> DataFrame:
+    """Give the diff rows of one poll their time and arrival ids: ``first_id`` onwards per drive, in file-id order.
 
-    Numbering is per drive and poll; a drive's poll is one diff, the unit the ids are handed out for.
+    A drive is numbered in chunks of ``ids_per_chunk`` file ids, so a drive with most of the changes is not one task.
     """
-    order = Window.partitionBy("drive_id").orderBy("stable_id")
-    return diff.select(
-        (first_id + F.row_number().over(order) - 1).cast("bigint").alias("id"),
+    numbered = diff.withColumns(
+        {
+            "_n": F.lit(1).cast("bigint"),
+            "_chunk": F.floor(F.col("stable_id") / F.lit(ids_per_chunk)).cast("bigint"),
+        }
+    )
+    return running_totals(numbered, "drive_id", ["stable_id"], ["_n"]).select(
+        (first_id + F.col("_n") - 1).cast("bigint").alias("id"),
         timestamp.cast("double").alias("timestamp"),
         *diff.columns,
     )

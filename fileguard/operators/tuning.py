@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fileguard.operators.metrics import ratio, score_counts, with_totals_below
+from fileguard.operators.metrics import place_in_ranges, ratio, score_counts, with_totals_below
 from fileguard.operators.models import class_rows
 
 
@@ -148,10 +148,18 @@ def alert_threshold_sweep(scored: DataFrame) -> DataFrame:
 
 
 def chunk_means(
-    labelled: DataFrame, lengths: list[int], value: str = "file_name_entropy", row_id: str = "row_id"
+    labelled: DataFrame,
+    lengths: list[int],
+    per_class: int,
+    value: str = "file_name_entropy",
+    row_id: str = "row_id",
 ) -> DataFrame:
-    """(length, label, chunk, mean) over each class's consecutive full chunks of every length."""
-    rows = _value_grid(class_rows(labelled, value, row_id), {"length": lengths})
+    """(length, label, chunk, mean) over each class's first ``per_class`` consecutive full chunks of every length.
+
+    Rows no chunk of any length can reach are left out before they are repeated per length.
+    """
+    reachable = class_rows(labelled, value, row_id).where(F.col("pos") < per_class * max(lengths))
+    rows = _value_grid(reachable, {"length": lengths}).where(F.col("pos") < F.col("length") * per_class)
     return (
         rows.groupBy("length", "label", F.floor(F.col("pos") / F.col("length")).cast("bigint").alias("chunk"))
         .agg(F.avg(value).alias("mean"), F.count("*").alias("_n"))
@@ -172,7 +180,7 @@ def hmm_separability(
     Every trial uses at most ``n_sequences`` chunks per class, so after the chunk means the data is bounded by the
     grid: lengths x the largest number of sequences x 2 rows.
     """
-    means = chunk_means(labelled, lengths, value, row_id).where(F.col("chunk") < max(n_sequences))
+    means = chunk_means(labelled, lengths, max(n_sequences), value, row_id)
     trials = _value_grid(means, {"n_sequences": n_sequences}).where("chunk < n_sequences")
     keys = ["length", "n_sequences"]
     is_mal = F.col("label") == 1
@@ -213,24 +221,20 @@ def pareto_front(trials: DataFrame) -> DataFrame:
     """Trials no other trial beats in one objective without losing the other; both ``f1`` and ``f2`` are maximised.
 
     Trials with equal objectives stand or fall together. A trial can only be beaten by the best ``f2`` among larger
-    ``f1`` or equal ``f1``: the table is reduced to one row per distinct ``f1`` and then to a running maximum in
-    chunks of ranked ``f1`` values.
+    ``f1`` or equal ``f1``, so the table is first reduced to the best ``f2`` of every distinct ``f1``.
     """
     best = trials.groupBy("f1").agg(F.max("f2").alias("f2"))
-    front = _front_of_levels(best)
-    return trials.join(front, ["f1", "f2"], "left_semi")
-
-
-def _front_of_levels(best: DataFrame, cells: int = 256) -> DataFrame:
-    """Rows (f1, f2) whose f2 exceeds every f2 at larger f1. Cells of equal width in f1 are pruned first: a row that
-    does not exceed the best f2 of the higher cells is gone before any ordering, and what is left is ordered by cell."""
-    low, high = best.agg(F.min("f1")).scalar(), best.agg(F.max("f1")).scalar()
-    cell = F.when(high > low, F.least(F.floor((F.col("f1") - low) / (high - low) * cells), F.lit(cells - 1))).otherwise(0)
-    placed = best.withColumn("_cell", cell.cast("bigint"))
-    higher = Window.partitionBy(F.lit(0)).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    bars = placed.groupBy("_cell").agg(F.max("f2").alias("m")).select("_cell", F.max("m").over(higher).alias("_bar"))
-    alive = placed.join(F.broadcast(bars), "_cell").where("_bar is null or f2 > _bar")  # at most ``cells`` bars
-    within = Window.partitionBy("_cell").orderBy(F.desc("f1")).rowsBetween(Window.unboundedPreceding, -1)
+    return trials.join(_front_of_levels(best), ["f1", "f2"], "left_semi")
+
+
+def _front_of_levels(best: DataFrame, ranges: int = 256) -> DataFrame:
+    """Rows (f1, f2) whose f2 exceeds every f2 at larger f1, taken range by range of f1: a row must exceed the best f2
+    of all higher ranges (at most ``ranges`` numbers) and of the higher rows inside its own range."""
+    placed = place_in_ranges(best, "f1", ranges)
+    higher = Window.partitionBy(F.lit(0)).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    bars = placed.groupBy("_range").agg(F.max("f2").alias("m")).select("_range", F.max("m").over(higher).alias("_bar"))
+    alive = placed.join(F.broadcast(bars), "_range").where("_bar is null or f2 > _bar")
+    within = Window.partitionBy("_range").orderBy(F.desc("f1")).rowsBetween(Window.unboundedPreceding, -1)
     return (
         alive.withColumn("_higher", F.max("f2").over(within)).where("_higher is null or f2 > _higher").select("f1", "f2")
     )

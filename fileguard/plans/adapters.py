@@ -18,7 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "events")
+    return file_events_from(table(spark, sf_dir, "events"))
+
+
+def file_events_from(raw: DataFrame) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     b = raw.select(
         F.col("event_id").alias("id"),

@@ -372,6 +372,7 @@ def build() -> dict[str, str]:
         row_number() over (partition by drive_id order by n desc, extension) as rank from tx) where rank<=10"""
     q["events_per_minute"] = _with(EVENTS) + """ select drive_id, cast(floor(ts_us/60000000.0) as bigint)*60000000 as minute_us, event_type,
         count(*) as n from fe group by 1,2,3"""
+    q["stream_events_per_minute"] = q["events_per_minute"]
     q["training_prepare"] = """select d.doc_id as row_id, l.toxic as label, cast(d.doc_id%7=0 as int) file_delete_archived,
         cast(d.doc_id%3=0 as int) file_created, cast(d.lang='en' as int) process_related, 1 network_related, 1 file_related,
         cast(d.doc_id%4=0 as int) suspicious_path, cast(d.lang='de' as int) system_executable, length(d.text) path_length,

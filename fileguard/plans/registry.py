@@ -23,7 +23,7 @@ from fileguard.operators import (
 from fileguard.plans import adapters, detection
 from fileguard.plans.oracles import PARAMS, SINCE_ID
 from fileguard.schemas import FEATURES
-from fileguard.session import cut_lineage
+from fileguard.session import cut_lineage, working_folder
 from fileguard.sources.events import events_recent, events_since
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,6 +504,25 @@ def recent_timeline(spark, d):
     return rows.select("drive_id", "rank", "id", "event_type", "full_path", rounded("fused"), "threat_level")
 
 
+@query
+def stream_events_per_minute(spark, d):
+    """The same counts from a stream over the events file, read once the stream has taken in everything."""
+    folder = working_folder(spark, "minutes")
+    events = adapters.file_events_from(
+        spark.readStream.schema(adapters.table(spark, d, "events").schema).parquet(f"{d}/events.parq*")
+    )
+    running = (
+        metrics.events_per_minute(events)
+        .writeStream.outputMode("complete")
+        .option("checkpointLocation", f"{folder}/query")
+        .foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/counts"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.parquet(f"{folder}/counts")
+
+
 # Renamed here because the functions behind them carry the plain names.
 QUERIES["events_since"] = QUERIES.pop("events_since_id")
 QUERIES["events_recent"] = QUERIES.pop("events_recent_days")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,14 +38,22 @@ def local_session(cpus: int | str = "*", memory: str = "12g", partitions: int |
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder now and go on from there, so later readers do not repeat its plan.
-
-    The folder is the one named in ``spark.checkpoint.dir``; only where none is set, as in tests, a local one is made.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``; only where none is set, as in tests, a local one is made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fileguard-")
+            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fileguard-")
         )
+    return context.getCheckpointDir()
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder now and go on from there, so later readers do not repeat its plan."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

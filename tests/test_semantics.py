@@ -169,3 +169,13 @@ def test_pareto_front_random(spark):
     got = sorted(r.trial for r in tuning.pareto_front(spark.createDataFrame(rows, "trial int, f1 double, f2 double")).collect())
     beaten = lambda t: any(o[1] >= t[1] and o[2] >= t[2] and (o[1] > t[1] or o[2] > t[2]) for o in rows)
     assert got == sorted(t[0] for t in rows if not beaten(t))
+
+
+def test_event_ids_per_poll(spark):
+    rows = [(d, f, "CREATED") for d in (0, 1) for f in (5, 900, 17, 3)]
+    diff = spark.createDataFrame(rows, "drive_id bigint, stable_id bigint, event_type string")
+    got = snapshots.as_file_events(diff, F.lit(7.5), F.lit(100), ids_per_chunk=10).orderBy("drive_id", "id").collect()
+    assert [(r.drive_id, r.id, r.stable_id) for r in got] == [
+        (d, 100 + i, f) for d in (0, 1) for i, f in enumerate((3, 5, 17, 900))
+    ]
+    assert {r.timestamp for r in got} == {7.5}

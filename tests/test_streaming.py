@@ -115,3 +115,17 @@ def test_attack_session_stream(spark, tmp_path):
     query.stop()
     got = compact(spark.table("attacks"), ["start_us", "end_us", "events"])
     assert got == [(base, base + 60_000_000, 2), (base + 200_000_000, base + 200_000_000, 1)]
+
+
+def test_late_events_are_dropped_and_counted(spark, tmp_path):
+    from fileguard.streaming.ordered import late_rows
+
+    pdf = make_events(100)
+    source, out, check = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check"
+    write(spark, pdf, source, "a")
+    run(spark, source, out, check)
+    late = pdf.iloc[:3].assign(id=[900, 901, 902])
+    write(spark, pd.concat([late, sentinel(pdf, 500)]), source, "b")
+    query = run(spark, source, out, check)
+    assert late_rows(query) == 3
+    assert detect.read_scored(spark, out).where("id >= 900").count() == 0
