@@ -17,13 +17,20 @@ _MATRIX_WIDTH = 256
 
 def _entropy_by_count(name: str) -> float:
     n = len(name)
-    return -sum(c / n * log2(c / n) for c in Counter(name).values()) + 0.0 if n else 0.0
+    repeats = Counter(Counter(name).values())
+    excess = 0.0
+    for k in sorted(repeats):
+        excess += repeats[k] * (k * log2(k))
+    return max(log2(n) - excess / n, 0.0) if n else 0.0
 
 
 @F.pandas_udf(T.DoubleType())
 def name_entropy(names: pd.Series) -> pd.Series:
     """Shannon entropy in bits over the characters (code points) of a name; 0 for an empty or NULL name.
 
+    Computed as log2(n) minus the sum of m * k * log2(k) / n over the repeat counts k in rising order, m characters
+    occurring k times each: names with the same repeats get the same number to the last bit, whatever their letters.
+
     Arrow batches with numpy: about five times faster here than the same fold written with higher-order
     functions, which Spark evaluates outside generated code.
     """
@@ -47,9 +54,12 @@ def name_entropy(names: pd.Series) -> pd.Series:
     ends = np.append(starts[1:], 0)
     last_of_row = np.append(rows[1:] != rows[:-1], True)
     ends = np.where(last_of_row, (rows + 1) * width, ends)
-    p = (ends - starts) / length[rows]
-    bits = np.bincount(rows, weights=-p * np.log2(p), minlength=len(short))
-    out[short] = bits + 0.0
+    count = ends - starts
+    excess = np.zeros(len(short))
+    for k in np.unique(count[count > 1]):
+        excess += np.bincount(rows[count == k], minlength=len(short)) * (k * log2(k))
+    n = np.maximum(length, 1)
+    out[short] = np.maximum(np.log2(n) - excess / n, 0.0)
     return pd.Series(out)
 
 

@@ -53,13 +53,13 @@ def _extension(name: str) -> str:
     return rf"regexp_extract({name}, '(?s)^(?:.*[/\\])?\.*[^./\\][^/\\]*?(\.[^./\\]*)$', 1)"
 
 
-# Entropy per distinct name; the longest common subsequence by trying every subsequence of every extension.
+# Entropy per distinct name, summed over repeat counts in order so that equal repeats give equal numbers; the longest common subsequence by trying every subsequence of every extension.
 FEATURE_STEPS = f"""
 ch as (select local_title, length(local_title) as n, unnest(string_split(local_title,'')) as x
        from (select distinct local_title from fe)),
-ent as (select local_title, -sum(p*log2(p)) as h
-        from (select local_title, x, count(*)/cast(any_value(n) as double) as p from ch group by local_title, x)
-        group by local_title),
+rep as (select local_title, n, k, count(*) as m from (select local_title, x, any_value(n) as n, count(*) as k
+        from ch group by local_title, x) group by local_title, n, k),
+ent as (select local_title, greatest(log2(n)-sum(m*(k*log2(k)) order by k)/n, 0) as h from rep group by local_title, n),
 pv as (select *, case when stable_id<>0 then lag(local_title) over (partition by drive_id, stable_id order by id) end
                    as previous_title from fl),
 ex as (select *, {_extension('previous_title')} as old_ext, {_extension('local_title')} as new_ext from pv),
@@ -83,7 +83,7 @@ ft as (select ex.id, ex."timestamp", ex.ts_us, ex.drive_id, ex.stable_id, ex.eve
   case when event_type<>'RENAMED' or coalesce(previous_title,'')='' then 1.0
        when length(old_ext)+length(new_ext)=0 then 1.0
        else 2.0*lcs.n/(length(old_ext)+length(new_ext)) end as extension_similarity,
-  case when ent.h=0 then 0 else ent.h end as file_name_entropy
+  coalesce(ent.h, 0) as file_name_entropy
   from ex left join ent on ent.local_title=ex.local_title left join lcs on lcs.a=ex.old_ext and lcs.b=ex.new_ext)
 """
 
