@@ -23,6 +23,13 @@ def training_prepare(raw: DataFrame) -> DataFrame:
     )
 
 
+def rejected_labels(raw: DataFrame) -> DataFrame:
+    """How many raw rows have a class the encoder does not know, by class."""
+    kind = F.col(f"`{LABEL_COLUMN}`")
+    unknown = raw.where(kind.isNull() | ~kind.isin("good", "ransom"))
+    return unknown.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
 def class_split(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Benign and malicious subset."""
     return labelled.where("label = 0"), labelled.where("label = 1")
@@ -45,9 +52,9 @@ def stratified_split(
 
     The rank within a class is exact but no class is one task: hash keys spread evenly, so each class is cut by the
     key's first five hex digits, ranked inside, and offset by the counts of the cuts before it (at most 2^20 rows
-    per class).
+    per class). Rows without a label are left out.
     """
-    keyed = labelled.withColumn("_key", seeded_key(row_id, seed))
+    keyed = labelled.where("label is not null").withColumn("_key", seeded_key(row_id, seed))
     cut = F.conv(F.substring("_key", 1, 5), 16, 10).cast("bigint")
     ranked = running_totals(
         keyed.withColumns({"_chunk": cut, "_rank": F.lit(1).cast("bigint")}), "label", ["_key", row_id], ["_rank"]

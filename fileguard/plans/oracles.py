@@ -379,6 +379,8 @@ def build() -> dict[str, str]:
         2 directory_depth, length(d.source) process_name_length, round(cast(d.doc_id%11 as double)/cast(10 as double),6) extension_similarity,
         round(cast(d.n_chars%97 as double)/cast(20 as double),6) file_name_entropy
         from documents d left join labels l on d.doc_id=l.doc_id"""
+    q["rejected_labels"] = """select 'unknown' as class, count(*) as n from documents d left join labels l on d.doc_id=l.doc_id
+        where l.toxic is null or l.toxic not in (0,1) having count(*)>0"""
     q["class_split"] = _with(LABELLED) + """ select 'benign' as subset, row_id, label from lf where label=0 union all
         select 'malicious', row_id, label from lf where label=1"""
     q["class_counts"] = _with(LABELLED) + " select label, count(*) as n from lf group by label"

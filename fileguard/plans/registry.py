@@ -342,6 +342,11 @@ def training_prepare(spark, d):
     )
 
 
+@query
+def rejected_labels(spark, d):
+    return models.rejected_labels(adapters.training_raw(spark, d))
+
+
 @query
 def class_split(spark, d):
     benign, malicious = models.class_split(adapters.labelled_features(spark, d).select("row_id", "label"))

@@ -31,6 +31,12 @@ def read_alerts(spark: SparkSession, path: str, file_format: str = "json", multi
     return (reader.option("multiLine", True) if multi_line else reader).load(path)
 
 
+def append_audit(audited: DataFrame, path: str) -> None:
+    """Append the audit trail, one folder per event day; forensics read it back by day."""
+    day = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd")
+    audited.withColumn("event_day", day).write.mode("append").partitionBy("event_day").parquet(path)
+
+
 def export_attacks(events: DataFrame, path: str) -> None:
     """One CSV folder per drive and attack with the attack's events."""
     flat = [name for name, kind in events.dtypes if not kind.startswith(("array", "struct", "map"))]

@@ -120,3 +120,24 @@ def test_tuning_config(spark):
     cfg = tuning.tuning_config(ratios, patterns, thresholds, best, 10, 5, "2025-01-01T00:00:00")
     assert cfg["likelihood_ratios"] == {"high_velocity": 3.46, "systematic_rename": 8.0}
     assert tuning.config_frame(spark, cfg).first().alert_thresholds.pause == 0.45
+
+
+def test_audit_and_attack_export(spark, tmp_path):
+    from fileguard.operators import forensics
+
+    base = 1_700_000_000_000_000
+    rows = [(i, base + t * 1_000_000, 0, i, "RENAMED", "a.enc", "p/a.enc", "a.doc", 2.0, p, False)
+            for i, (t, p) in enumerate([(0, 0.9), (30, 0.1), (60, 0.8), (500, 0.7), (900, 0.2)])]
+    scored = spark.createDataFrame(rows, """id bigint, ts_us bigint, drive_id bigint, stable_id bigint, event_type string,
+        local_title string, full_path string, previous_title string, file_name_entropy double, fused double,
+        malicious boolean""")
+    alert_source.append_audit(forensics.audit_trail(scored), str(tmp_path / "audit"))
+    stored = spark.read.parquet(str(tmp_path / "audit"))
+    assert stored.where("suspicious").count() == 3
+    inside = forensics.attack_events(stored)
+    assert sorted((r.attack_no, r.id) for r in inside.collect()) == [(1, 0), (1, 1), (1, 2), (2, 3)]
+    alert_source.export_attacks(inside, str(tmp_path / "csv"))
+    back = spark.read.csv(str(tmp_path / "csv"), header=True, inferSchema=True)
+    assert {(r.drive_id, r.attack_no, r.id) for r in back.collect()} == {(0, 1, 0), (0, 1, 1), (0, 1, 2), (0, 2, 3)}
+    extensions = forensics.attack_extensions(inside).where("attack_no = 1").first()
+    assert (extensions.old_extension, extensions.new_extension, extensions.n) == (".doc", ".enc", 3)
