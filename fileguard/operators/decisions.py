@@ -72,7 +72,8 @@ def batch_threat(
     in_batch = Window.partitionBy("drive_id", "batch")
     parts = parts.withColumn("batch_hit", F.min("first_hit").over(in_batch)).withColumn(
         "reachable",
-        F.when(F.col("batch_hit").isNull() | F.col("first_hit").isNull() & (F.col("best.id") < F.col("batch_hit")), F.col("best"))
+        F.when(F.col("batch_hit").isNull(), F.col("best"))
+        .when(F.col("first_hit").isNull() & (F.col("best.id") < F.col("batch_hit")), F.col("best"))
         .when(F.col("first_hit") == F.col("batch_hit"), F.col("best_until_hit")),
     )
     rank = lambda c: F.struct(F.col(f"{c}.fused"), -F.col(f"{c}.id"))

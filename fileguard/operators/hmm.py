@@ -119,7 +119,8 @@ def state_alignment(models: DataFrame) -> DataFrame:
 
 def entropy_state_means(models: DataFrame) -> DataFrame:
     """One row per model and state: role and mean."""
-    return state_alignment(models).select("model_id", "malicious_state", F.posexplode("mu").alias("state", "mean")).select(
+    states = state_alignment(models).select("model_id", "malicious_state", F.posexplode("mu").alias("state", "mean"))
+    return states.select(
         "model_id",
         "state",
         F.when(F.col("state") == F.col("malicious_state"), F.lit("malicious")).otherwise(F.lit("benign")).alias("role"),

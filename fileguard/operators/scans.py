@@ -29,9 +29,8 @@ def running_totals(rows: DataFrame, key: str, order: list[str], values: list[str
         .select(key, _CHUNK, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}_before") for v in values])
     )
     local = rows.withColumns({v: F.sum(v).over(here) for v in values})
-    return local.join(carry, [key, _CHUNK]).withColumns(
-        {v: F.col(v) + F.col(f"_{v}_before") for v in values}
-    ).drop(*[f"_{v}_before" for v in values])
+    total = {v: (F.col(v) + F.col(f"_{v}_before")).alias(v) for v in values}
+    return local.join(carry, [key, _CHUNK]).select(*[total.get(c, F.col(c)) for c in rows.columns])
 
 
 def live_runs(points: DataFrame, keys: list[str], ts: str, gap_us: int) -> DataFrame:
@@ -148,8 +147,8 @@ def previous_value(
     With ``skip_nulls`` it is the nearest preceding row whose value is not NULL. ``position`` is a bigint that does
     not decrease along ``order``. Keys with more than ``busy_rows`` rows (``span`` unless given) are cut every ``span``
     positions; their list is broadcast, which is safe because a table of N rows has at most N / ``busy_rows`` of them.
-    All other keys stay whole, so ordinary data pays one shuffle of the rows. ``base`` holds the same rows before enrichment; the summaries are
-    read from it so that the steps behind ``rows`` are not run again.
+    All other keys stay whole, so ordinary data pays one shuffle of the rows. ``base`` holds the same rows before
+    enrichment; the summaries are read from it so that the steps behind ``rows`` are not run again.
     """
     base = rows if base is None else base
     boxed = F.when(value.isNotNull(), F.struct(value.alias("v"))) if skip_nulls else F.struct(value.alias("v"))

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from fileguard.operators import decisions, hmm, metrics, models, tuning
-from fileguard.params import HmmParams
 from fileguard.schemas import FEATURES, LABEL_COLUMN, TRAINING_COLUMNS
 from fileguard.sources import alerts as alert_source
 from fileguard.sources import config, events, training
