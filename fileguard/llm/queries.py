@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 from fileguard.llm import oracles
 from fileguard.llm.chat_format import chat_windows, read_back
 from fileguard.llm.common import read
+from fileguard.llm.decontamination import decontaminate
+from fileguard.llm.license_scan import license_scan
+from fileguard.llm.packing import pack
 from fileguard.llm.quality_rules import quality_rules
 from fileguard.llm.token_counts import token_counts
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(read(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -51,8 +62,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_token_counts, op8_quality_rules, op9_chat_format)
+    f.__name__: f for f in (
+        op3_license_scan, op5_packing, op7_token_counts, op8_quality_rules, op9_chat_format, op10_decontamination,
+    )
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
