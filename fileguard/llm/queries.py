@@ -11,12 +11,17 @@ from fileguard.llm import oracles
 from fileguard.llm.chat_format import chat_windows, read_back
 from fileguard.llm.common import read
 from fileguard.llm.decontamination import decontaminate
+from fileguard.llm.exact_substrings import remove_repeats
 from fileguard.llm.license_scan import license_scan
 from fileguard.llm.packing import pack
 from fileguard.llm.quality_rules import quality_rules
 from fileguard.llm.token_counts import token_counts
 
 
+def op2_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_license_scan, op5_packing, op7_token_counts, op8_quality_rules, op9_chat_format, op10_decontamination,
+        op2_exact_substrings, op3_license_scan, op5_packing, op7_token_counts, op8_quality_rules, op9_chat_format, op10_decontamination,
     )
 }
 
