@@ -51,6 +51,17 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` (doc_id, text) with ``row``: doc_id itself where it names each row, else the place in the order of doc_id (null
+    first) and text among the distinct rows."""
+    spark = df.sparkSession
+    clash = df.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if clash.isEmpty():
+        return df.withColumn("row", F.col("doc_id"))
+    placed = df.distinct().orderBy("doc_id", "text").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+    return stored(spark.createDataFrame(placed, "doc_id long, text string, row long"), "numbered-rows")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

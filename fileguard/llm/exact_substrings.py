@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileguard.llm.common import BASES, buffer, documents, forget, pieces, record, span_hashes, stored
+from fileguard.llm.common import BASES, buffer, documents, forget, numbered, pieces, record, span_hashes, stored
 
 LENGTH = 100
 #: Bytes of a minimizer, at least eight less than the window.
@@ -229,17 +229,6 @@ def compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield settle()
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` (doc_id, text) with ``row``: doc_id itself where it names each row, else the place in the order of doc_id (null
-    first) and text among the distinct rows."""
-    spark = df.sparkSession
-    clash = df.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    if clash.isEmpty():
-        return df.withColumn("row", F.col("doc_id"))
-    placed = df.distinct().orderBy("doc_id", "text").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    return stored(spark.createDataFrame(placed, "doc_id long, text string, row long"), "substrings-rows")
-
-
 def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """Runs (row, start, end) of bytes of ``docs`` (row, text) that a window covers which stands earlier; runs may overlap."""
 

@@ -13,6 +13,7 @@ from fileguard.llm.common import read
 from fileguard.llm.decontamination import decontaminate
 from fileguard.llm.exact_substrings import remove_repeats
 from fileguard.llm.license_scan import license_scan
+from fileguard.llm.near_duplicates import near_duplicates
 from fileguard.llm.packing import pack
 from fileguard.llm.quality_rules import quality_rules
 from fileguard.llm.token_counts import token_counts
@@ -26,6 +27,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=2)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -73,7 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_exact_substrings, op3_license_scan, op5_packing, op7_token_counts, op8_quality_rules, op9_chat_format, op10_decontamination,
+        op2_exact_substrings, op3_license_scan, op4_minhash_near_dedup, op5_packing, op7_token_counts, op8_quality_rules, op9_chat_format, op10_decontamination,
     )
 }
 
