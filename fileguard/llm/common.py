@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python task turns into arrays at once.
 PIECE_BYTES = 1 << 21
@@ -52,18 +53,17 @@ def forget(spark: SparkSession) -> None:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` (doc_id, text) with ``row``: doc_id itself where it names each row, else the place in the order of doc_id (null
-    first) and text among the distinct rows."""
-    spark = df.sparkSession
+    """``df`` (doc_id, text and others) with ``row``: doc_id itself where it names each row. Otherwise rows with equal doc_id
+    and text become one (with the smallest of the other columns) and ``row`` is the place in the order of doc_id (null
+    first) and text."""
     clash = df.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if clash.isEmpty():
         return df.withColumn("row", F.col("doc_id"))
-    placed = df.distinct().orderBy("doc_id", "text").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    return stored(spark.createDataFrame(placed, "doc_id long, text string, row long"), "numbered-rows")
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    others = [c for c in df.columns if c not in ("doc_id", "text")]
+    distinct = df.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("others"))
+    flat = distinct.select("doc_id", "text", *(f"others.{c}" for c in others)).select(*df.columns)
+    rows = flat.orderBy("doc_id", "text").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    return stored(df.sparkSession.createDataFrame(rows, T.StructType([*flat.schema, T.StructField("row", T.LongType())])), "numbered")
 
 
 def buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,6 @@ text around them is verified by bit-parallel edit distance.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -102,9 +101,6 @@ def merged(spans: list[tuple[int, int]]) -> Iterable[tuple[int, int]]:
     return out
 
 
-_SEARCHERS: dict[str, Searcher] = {}
-
-
 def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The distinct items in blocks of about ``size`` characters, one block at a time on the driver; those without a
     character other than white space match nothing and are left out."""
@@ -128,13 +124,9 @@ def passages(df: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, bloc
     spark = df.sparkSession
     for block in blocks(benchmark, block_chars):
         shared = spark.sparkContext.broadcast(block)
-        key = f"{hashlib.sha256(repr(block).encode()).hexdigest()} {rate}"
 
-        def searched(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            if key not in _SEARCHERS:
-                _SEARCHERS.clear()
-                _SEARCHERS[key] = Searcher(shared.value, rate)
-            searcher = _SEARCHERS[key]
+        def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(shared.value, rate)
             for batch in batches:
                 for piece in pieces(batch):
                     ids = piece.column("doc_id").to_pylist()
@@ -155,6 +147,22 @@ def passages(df: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, bloc
     return found if found is not None else spark.createDataFrame([], SCHEMA)
 
 
+def clean(df: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``df``, with all columns, in whose text no benchmark item stands. Each row is judged by itself, in place."""
+    for block in blocks(benchmark, block_chars):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
+        def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(shared.value, rate)
+            for batch in batches:
+                for piece in pieces(batch):
+                    texts = piece.column("text").to_pylist()
+                    yield piece.filter(pa.array([next(searcher.find(normalised(t or "")), None) is None for t in texts], pa.bool_()))
+
+        df = df.mapInArrow(kept, df.schema)
+    return df
+
+
 def decontaminate(
     df: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:

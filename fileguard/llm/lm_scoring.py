@@ -1,0 +1,141 @@
+"""Cross-entropy difference of two n-gram models over one vocabulary.
+
+Tokens are bytes. The vocabulary is learned once, from all texts, and serves both models: the 62 commonest bytes, one symbol
+for all others, one for "before the text". Models of order four then have at most 64**4 = 2**24 n-grams, however large the
+corpus; that bound is what allows them to be broadcast. Both are counted over every text: the target over the texts that are
+marked, the background over all the rest. Both are smoothed alike (Witten-Bell, interpolated down to the uniform
+distribution). A document's score is the mean over its tokens of target loss minus background loss, in bits: the lower, the
+more it resembles the target.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fileguard.llm.common import buffer, documents, pieces, record, stored
+
+ORDER = 4
+BITS = 6
+OTHER, BEFORE = 62, 63
+
+COUNTS = "code int, target long, background long"
+SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
+
+
+def codes(raw: np.ndarray, offsets: np.ndarray, symbols: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The n-gram that ends at each byte, as a number of ``order`` digits; before its row stands the symbol BEFORE."""
+    own = symbols[raw].astype(np.int32)
+    out = own.copy()
+    for back in range(1, order):
+        earlier = np.full(len(raw), BEFORE, np.int32)
+        earlier[back:] = own[:-back] if back < len(raw) else own[:0]
+        for first in range(back):
+            at = offsets[:-1] + first
+            earlier[at[at < offsets[1:]]] = BEFORE
+        out |= earlier << (BITS * back)
+    return out
+
+
+def witten_bell(code: np.ndarray, count: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """-log2 of the interpolated probability of the last symbol of each distinct ``code`` after the others."""
+    lower = np.full(len(code), 1.0 / (1 << BITS))
+    for n in range(1, order + 1):
+        grams, at = np.unique(code & ((1 << (BITS * n)) - 1), return_inverse=True)
+        seen = np.bincount(at, weights=count, minlength=len(grams))
+        history, of = np.unique(grams >> BITS, return_inverse=True)
+        total = np.bincount(of, weights=seen, minlength=len(history))[of]
+        kinds = np.bincount(of, weights=seen > 0, minlength=len(history))[of]
+        below = np.empty(len(grams))
+        below[at] = lower
+        with np.errstate(invalid="ignore"):
+            here = np.where(total > 0, (seen + kinds * below) / (total + kinds), below)
+        lower = here[at]
+    return -np.log2(lower)
+
+
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def cross_entropy_difference(df: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, n_tokens (bytes), loss_target, loss_background (mean bits a token) and score for every row of ``df``.
+
+    ``target`` has the doc_id of the texts that the target model is counted over; ids that repeat, are null or have no text
+    change nothing. Null and empty texts have no token and null losses; rows that share a doc_id are scored each by itself;
+    a null doc_id stays null and is never target; an empty table gives an empty result; without target texts that model is
+    uniform. Further columns are ignored. To the driver go 256 byte counts and at most 2**24 n-gram counts.
+    """
+    spark = df.sparkSession
+    docs = documents(df)
+
+    def byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            total += np.bincount(buffer(batch.column("text"))[0], minlength=256)
+        yield record("byte int, n long", byte=pa.array(np.arange(256, dtype=np.int32)), n=pa.array(total))
+
+    sums = docs.select("text").mapInArrow(byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+    common = sums.where("n > 0").orderBy(F.desc("n"), "byte").limit(OTHER).collect()
+    symbols = np.full(256, OTHER, np.uint8)
+    for i, row in enumerate(common):
+        symbols[row["byte"]] = i
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One count for each possible n-gram and model; memory is touched where n-grams occur.
+        held = np.zeros((2, 1 << (BITS * ORDER)), np.int64)
+        for batch in batches:
+            for piece in pieces(batch):
+                raw, offsets = buffer(piece.column("text"))
+                marked = np.repeat(piece.column("marked").to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
+                code = codes(raw, offsets, symbols)
+                for model, own in enumerate((marked, ~marked)):
+                    found, n = np.unique(code[own], return_counts=True)
+                    held[model, found] += n
+        some = np.flatnonzero(held.any(axis=0))
+        for part in np.array_split(some, max(1, len(some) >> 16)):
+            yield record(
+                COUNTS, code=pa.array(part.astype(np.int32)), target=pa.array(held[0, part]), background=pa.array(held[1, part])
+            )
+
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    marked = docs.join(ids.withColumn("marked", F.lit(True)), "doc_id", "left").select(
+        "text", F.coalesce("marked", F.lit(False)).alias("marked")
+    )
+    grams = marked.mapInArrow(counted, COUNTS).groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    table = stored(grams, "lm-counts").toArrow()
+    code = table.column("code").to_numpy()
+    losses = [witten_bell(code, table.column(c).to_numpy().astype(float)).astype(np.float32) for c in ("target", "background")]
+    shared, key = spark.sparkContext.broadcast((code, *losses)), uuid.uuid4().hex
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _TABLES:
+            _TABLES.clear()
+            known, *values = shared.value
+            dense = tuple(np.zeros(1 << (BITS * ORDER), np.float32) for _ in values)
+            for d, v in zip(dense, values, strict=True):
+                d[known] = v
+            _TABLES[key] = dense
+        for batch in batches:
+            for piece in pieces(batch):
+                raw, offsets = buffer(piece.column("text"))
+                code, n = codes(raw, offsets, symbols), np.diff(offsets)
+                means = []
+                for dense in _TABLES[key]:
+                    total = np.zeros(len(n))
+                    if len(raw):
+                        some = n > 0
+                        total[some] = np.add.reduceat(dense[code].astype(np.float64), offsets[:-1][some])
+                    means.append(np.where(n > 0, total / np.maximum(n, 1), np.nan))
+                yield record(
+                    SCORES,
+                    doc_id=piece.column("doc_id"), n_tokens=pa.array(n),
+                    loss_target=pa.array(means[0], from_pandas=True), loss_background=pa.array(means[1], from_pandas=True),
+                    score=pa.array(means[0] - means[1], from_pandas=True),
+                )
+
+    return docs.mapInArrow(scored, SCORES)

@@ -112,6 +112,27 @@ def ranked(measured: DataFrame, tried: list[Rule], sample_rows: int = SAMPLE_ROW
     return sorted(tried, key=lambda r: (-worth[r.name], r.name))
 
 
+def judge(df: DataFrame, tried: list[Rule] | None, sample_rows: int, order: bool) -> DataFrame:
+    """``df`` with the measures of its column ``text``, ``base_failed`` and ``rejected_by``."""
+    measured = measures(df)
+    tried = rules() if tried is None else tried
+    if order:
+        tried = ranked(measured, tried, sample_rows)
+    verdict = F.when(base_failed(), "base")
+    for rule in tried:
+        verdict = verdict.when(rule.rejects, rule.name)
+    return measured.withColumn("base_failed", base_failed()).withColumn("rejected_by", verdict)
+
+
+def passed(df: DataFrame, tried: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS, order: bool = True) -> DataFrame:
+    """The rows of ``df`` that ``quality_rules`` keeps, with their columns; ``text`` is coalesced to the empty text."""
+    named = documents(df, F.struct(*(F.col(c) for c in df.columns)).alias("whole"))
+    judged = judge(named, tried, sample_rows, order)
+    # A filter is pushed below the projections and then carries a copy of every measure along with each use. It stays above
+    # a projection with a random column that it reads; rand() is never below zero.
+    return judged.withColumn("_above", F.rand(0)).where("rejected_by is null and _above >= 0").select("whole.*")
+
+
 def quality_rules(
     df: DataFrame, tried: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS, order: bool = True
 ) -> DataFrame:
@@ -121,14 +142,7 @@ def quality_rules(
     itself; an empty table gives an empty result; further columns are ignored, whatever their names. ``order=False`` keeps
     the rules as they stand and runs no job.
     """
-    measured = measures(documents(df))
-    tried = rules() if tried is None else tried
-    if order:
-        tried = ranked(measured, tried, sample_rows)
-    verdict = F.when(base_failed(), "base")
-    for rule in tried:
-        verdict = verdict.when(rule.rejects, rule.name)
-    judged = measured.withColumn("base_failed", base_failed()).withColumn("rejected_by", verdict)
+    judged = judge(documents(df), tried, sample_rows, order)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("rejected_by").isNull().alias("kept"), "rejected_by",

@@ -12,13 +12,20 @@ from fileguard.llm.chat_format import chat_windows, read_back
 from fileguard.llm.common import read
 from fileguard.llm.decontamination import decontaminate
 from fileguard.llm.exact_substrings import remove_repeats
+from fileguard.llm.language_id import fit, identify, training_rows
 from fileguard.llm.license_scan import license_scan
+from fileguard.llm.lm_scoring import cross_entropy_difference
 from fileguard.llm.near_duplicates import near_duplicates
 from fileguard.llm.packing import pack
 from fileguard.llm.quality_rules import quality_rules
 from fileguard.llm.token_counts import token_counts
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return cross_entropy_difference(read(spark, sf_dir, "documents"), good)
+
+
 def op2_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -35,6 +42,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labelled = identify(docs, fit(training_rows(docs)))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(read(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -78,7 +92,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_exact_substrings, op3_license_scan, op4_minhash_near_dedup, op5_packing, op7_token_counts, op8_quality_rules, op9_chat_format, op10_decontamination,
+        op1_lm_scoring, op2_exact_substrings, op3_license_scan, op4_minhash_near_dedup, op5_packing, op6_language_id, op7_token_counts, op8_quality_rules, op9_chat_format, op10_decontamination,
     )
 }
 
