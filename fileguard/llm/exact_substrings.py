@@ -22,14 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fileguard.llm.common import BASES, buffer, documents, forget, numbered, pieces, record, span_hashes, stored
 
 LENGTH = 100
 #: Bytes of a minimizer, at least eight less than the window.
 GRAM = 32
-#: Different segments of one minimizer that one task compares by suffix order; beyond, windows go one by one.
-GROUP = 1024
+#: Different segments of one minimizer that one task compares by suffix order (2.7 MB of them); beyond, windows go one by one.
+GROUP = 1 << 14
 #: Bytes of segments that are ordered together.
 ORDERED_BYTES = 1 << 20
 #: Bytes of one document that are looked at at once; slices overlap by a window.
@@ -323,9 +324,10 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
 
 
 def remove_repeats(
-    df: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, with_text: bool = False
+    df: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, carried: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes that stay, on demand) for every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document; with ``carried``, also those columns of ``df`` and
+    ``kept``, the text that stays. (A run can end inside a character; ``kept`` leaves such a character out.)
 
     A byte goes if a string of ``length`` bytes covers it that also starts earlier: in a smaller doc_id or earlier in the same
     document. Null and empty texts have no byte; rows with equal doc_id and text are one document; different texts under
@@ -334,10 +336,15 @@ def remove_repeats(
     """
     if gram + 8 > length:
         raise ValueError("gram must leave at least eight bytes of the window")
-    docs = numbered(documents(df))
+    more = carried or ()
+    docs = numbered(documents(df, *more))
     runs = removed_runs(docs, length, gram, group)
-    by_row = runs.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    by_row = stored(runs.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "substrings-runs")
+    forget(df.sparkSession)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    full = T.StructType.fromDDL(schema + ", kept string" * (carried is not None))
+    for name in more:
+        full = full.add(docs.schema[name])
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,13 +365,17 @@ def remove_repeats(
                 begins[rows] = gone[rows]
                 spans = np.r_[0, np.cumsum(begins)]
                 kept = [raw[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-                columns = {"kept": pa.array(kept, pa.binary())} if with_text else {}
-                yield record(
+                made = record(
                     schema,
                     doc_id=piece.column("doc_id"), n_bytes=pa.array(np.diff(offsets)),
                     n_removed=pa.array(total[offsets[1:]] - total[offsets[:-1]]),
                     n_spans=pa.array(spans[offsets[1:]] - spans[offsets[:-1]]),
-                    kept_sha256=pa.array([hashlib.sha256(k).hexdigest() for k in kept]), **columns,
+                    kept_sha256=pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
                 )
+                if carried is not None:
+                    made = made.append_column("kept", pa.array([k.decode("utf-8", "ignore") for k in kept]))
+                for name in more:
+                    made = made.append_column(name, piece.column(name))
+                yield made
 
-    return docs.join(by_row, "row", "left").select("doc_id", "text", "runs").mapInArrow(applied, schema)
+    return docs.join(by_row, "row", "left").select("doc_id", "text", "runs", *more).mapInArrow(applied, full)
