@@ -3,9 +3,11 @@ components.
 
 * Texts with the same shingle set form a class, whose smallest row stands for it.
 * Rows that share a band are first linked to the smallest and the largest row of the band: two candidates a row and band.
-* Components of the confirmed links are built. A band whose rows still lie in several components is then compared in full:
-  all its pairs from different components, by signature, in blocks of bounded size. Only pairs whose signatures agree well
-  enough leave the block. So no link between different texts is lost to the choice of the first centres.
+* Components of the confirmed links are built. In a band whose rows still lie in several components, all pairs across
+  components are compared by signature, in blocks of bounded size. What leaves a block is not the pairs but questions: "has
+  this component a row that is linked to me?", from a row of the smaller component to the larger one.
+* A question goes to every block of the component, meets the full sets there, and comes back with one link at most. So no link
+  between different texts is lost to the choice of the first centres, and no group is written out as pairs.
 * With 40 bands of 5 minima a pair of similarity 0.8 shares no band with probability 1.3e-7, and the signature bound lies
   more than five standard deviations below the threshold.
 """
@@ -94,11 +96,9 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those ``pairs`` (a, b) whose full shingle sets reach the similarity."""
+def confirmed(pairs: DataFrame, held: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those ``pairs`` (a, b) whose full shingle sets reach the similarity; ``held`` has the texts (row, text)."""
     percent = round(100 * similarity)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    held = stored(texts.join(ends, "row").select("row", "text"), "near-texts")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,6 +112,44 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(one, "a").join(other, "b").mapInArrow(checked, PAIRS)
 
 
+def answered(questions: DataFrame, named: DataFrame, held: DataFrame, width: int, similarity: float, block_rows: int) -> DataFrame:
+    """One link (a, b) at most for each question (row, asked) and block of the asked component's rows."""
+    percent = round(100 * similarity)
+    asked = questions.groupBy(F.col("asked").alias("component")).agg(F.count("*").alias("_")).drop("_")
+    sizes = named.groupBy("component").agg(F.count("*").alias("n")).join(asked, "component")
+    sizes = sizes.select("component", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    targets = named.join(sizes, "component").select("row", "component", block.alias("block"), F.lit(False).alias("asks"))
+    asking = questions.withColumnRenamed("asked", "component").join(sizes, "component").select(
+        "row", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks")
+    )
+    # A component that many ask is asked in several groups as well; its rows are copied to each.
+    load = asking.groupBy("component", "block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    asking = asking.join(load, ["component", "block"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    targets = targets.join(load, ["component", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = asking.unionByName(targets).join(held, "row").select("component", "block", "part", "row", "asks", "text")
+
+    def compared(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        rows, asks = (group.column(c).to_numpy(zero_copy_only=False) for c in ("row", "asks"))
+        asks = asks.astype(bool)
+        sets = shingle_sets(*buffer(group.column("text")), width)
+        sizes = np.array([len(s) for s in sets])
+        found = []
+        targets = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks):
+            # Sizes alone rule out most; the nearest sizes are tried first.
+            near = targets[np.minimum(sizes[targets], sizes[i]) * 100 >= percent * np.maximum(sizes[targets], sizes[i])]
+            for j in near[np.argsort(np.abs(sizes[near] - sizes[i]), kind="stable")]:
+                if linked(sets[i], sets[j], percent):
+                    found.append((min(rows[i], rows[j]), max(rows[i], rows[j])))
+                    break
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met.groupBy("component", "block", "part").applyInArrow(compared, PAIRS)
+
+
 def alike(pairs: DataFrame, sketched: DataFrame, least: int) -> DataFrame:
     """Those ``pairs`` whose signatures have at least ``least`` equal bytes."""
 
@@ -127,7 +165,8 @@ def alike(pairs: DataFrame, sketched: DataFrame, least: int) -> DataFrame:
 
 
 def across(members: DataFrame, sketched: DataFrame, least: int, block_rows: int) -> DataFrame:
-    """Pairs of ``members`` (key, row, component, n) of one key but different components with alike signatures.
+    """Questions (row, asked) between ``members`` (key, row, component, size, n) of one key: a row and a component at least as
+    large, one of whose rows in the key has a signature alike.
 
     The rows of a key are dealt to ceil(n / block_rows) blocks by hash; each pair of blocks is a group of its own.
     """
@@ -137,26 +176,28 @@ def across(members: DataFrame, sketched: DataFrame, least: int, block_rows: int)
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least("mine", o).alias("low"), F.greatest("mine", o).alias("high")),
     )
-    dealt = members.withColumns({"blocks": blocks, "mine": mine}).select("key", "row", "component", "mine", F.explode(met).alias("met"))
-    dealt = dealt.join(sketched.select("row", "signature"), "row").select("key", "met.low", "met.high", "mine", "row", "component", "signature")
+    keep = ["key", "row", "component", "size", "mine"]
+    dealt = members.withColumns({"blocks": blocks, "mine": mine}).select(*keep, F.explode(met).alias("met"))
+    dealt = dealt.join(sketched.select("row", "signature"), "row").select(*keep, "met.low", "met.high", "signature")
 
     def compared(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        rows, comps, mine = (group.column(c).to_numpy() for c in ("row", "component", "mine"))
+        rows, comps, sizes, mine = (group.column(c).to_numpy() for c in ("row", "component", "size", "mine"))
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         sig = bytes_matrix(group.column("signature"))
-        left = np.flatnonzero(mine == low)
-        right = np.flatnonzero(mine == high)
-        found = []
+        left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
+        found: set[tuple[int, int]] = set()
         for i in left:
-            others = right[(comps[right] != comps[i]) & ((rows[right] > rows[i]) | (low != high))]
+            others = right[comps[right] != comps[i]]
             if len(others):
                 good = others[(sig[others] == sig[i]).sum(axis=1) >= least]
-                found += [(min(rows[i], rows[j]), max(rows[i], rows[j])) for j in good]
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                smaller = (sizes[good] > sizes[i]) | ((sizes[good] == sizes[i]) & (comps[good] < comps[i]))
+                found.update((int(rows[i]), int(c)) for c in np.unique(comps[good[smaller]]))
+                found.update((int(r), int(comps[i])) for r in rows[good[~smaller]])
+        row, asked = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"row": pa.array(row, pa.int64()), "asked": pa.array(asked, pa.int64())})
 
-    return dealt.groupBy("key", "low", "high").applyInArrow(compared, PAIRS)
+    return dealt.groupBy("key", "low", "high").applyInArrow(compared, "row long, asked long").distinct()
 
 
 def near_duplicates(
@@ -167,8 +208,9 @@ def near_duplicates(
     minima: int = MINIMA,
     block_rows: int = BLOCK_ROWS,
     seed: int = 1,
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+    """doc_id, n_shingles, component_id, kept for every document, and the columns of ``df`` named in ``carried``.
 
     A-Z count as a-z; words are runs of characters other than space and 9 to 13. Documents are linked if the similarity of
     their sets of distinct shingles reaches ``similarity`` (in whole percents); component_id is the smallest doc_id that
@@ -179,7 +221,7 @@ def near_duplicates(
     which can be kept. An empty table gives an empty result; further columns are ignored.
     """
     spark = df.sparkSession
-    docs = numbered(documents(df))
+    docs = numbered(documents(df, *(c for c in carried if c != "text")))
     texts = docs.select("row", "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,25 +254,31 @@ def near_duplicates(
     ends = members.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
     tied = members.join(ends, "key").select("row", F.explode(F.array("low", "high")).alias("other")).where("row <> other")
     tied = tied.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+    tied = stored(tied, "near-tied")
+    ends = tied.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    held = stored(texts.join(ends, "row").select("row", "text"), "near-texts")
+    forget(spark)
     least = fewest_equal(bands * minima, similarity)
     pairs = stored(alike(tied, sketched, least), "near-pairs")
-    forget(spark)
-    links = stored(confirmed(pairs, texts, width, similarity), "near-links")
+    links = stored(confirmed(pairs, held, width, similarity), "near-links")
     forget(spark)
 
     joined = components(links)
-    named = members.join(joined, members["row"] == joined["node"], "left").select(
-        "key", "row", F.coalesce("component", "row").alias("component")
+    own = sketched.select("row").join(joined, F.col("row") == F.col("node"), "left").select(
+        "row", F.coalesce("component", "row").alias("component")
     )
+    sizes = own.groupBy("component").agg(F.count("*").alias("size"))
+    own = stored(own.join(sizes, "component"), "near-components")
+    named = members.join(own, "row")
     split = named.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
     ).where("low < high")
     unsettled = named.join(split.select("key", "n"), "key")
-    more = across(unsettled, sketched, least, block_rows).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "near-more-pairs")
+    questions = stored(across(unsettled, sketched, least, block_rows), "near-questions")
     forget(spark)
-    if not more.isEmpty():
-        links = stored(links.unionByName(confirmed(more, texts, width, similarity)), "near-all-links")
+    if not questions.isEmpty():
+        more = answered(questions, own.select("row", "component"), held, width, similarity, block_rows)
+        links = stored(links.unionByName(more), "near-all-links")
         forget(spark)
         joined = components(links)
 
@@ -240,8 +288,8 @@ def near_duplicates(
     found = every.select("row", *same).join(leads, same, "left").select(
         "row", "n_shingles", F.coalesce("component", "row").alias("component")
     )
-    ids = docs.select("row", "doc_id")
-    heads = ids.select(F.col("row").alias("component"), F.col("doc_id").alias("component_id"))
-    return ids.join(found, "row").join(heads, "component").select(
-        "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("component")).alias("kept")
+    heads = docs.select(F.col("row").alias("component"), F.col("doc_id").alias("component_id"))
+    named = found.join(heads, "component")
+    return docs.select("row", "doc_id", *carried).join(named, "row").select(
+        "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("component")).alias("kept"), *carried
     )
