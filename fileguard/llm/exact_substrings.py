@@ -336,7 +336,7 @@ def remove_repeats(
     """
     if gram + 8 > length:
         raise ValueError("gram must leave at least eight bytes of the window")
-    more = carried or ()
+    more = tuple(c for c in carried or () if c not in ("doc_id", "text"))
     docs = numbered(documents(df, *more))
     runs = removed_runs(docs, length, gram, group)
     by_row = stored(runs.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "substrings-runs")
