@@ -28,8 +28,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 40
 MINIMA = 5
-#: Rows of a band that are compared with one another in one block.
-BLOCK_ROWS = 512
+#: Rows of a band whose signatures (one byte a minimum) are compared with one another in one block.
+BLOCK_ROWS = 2048
+#: Rows of a component whose full sets are held together to answer questions.
+ANSWER_ROWS = 512
 
 SKETCH = "row long, n_shingles long, set1 long, set2 long, signature binary, bands array<long>"
 PAIRS = "a long, b long"
@@ -256,7 +258,8 @@ def near_duplicates(
     tied = tied.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
     tied = stored(tied, "near-tied")
     ends = tied.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    held = stored(texts.join(ends, "row").select("row", "text"), "near-texts")
+    # Both sides grow with the corpus, so neither is ever broadcast.
+    held = stored(texts.join(ends.hint("merge"), "row").select("row", "text"), "near-texts")
     forget(spark)
     least = fewest_equal(bands * minima, similarity)
     pairs = stored(alike(tied, sketched, least), "near-pairs")
@@ -277,7 +280,7 @@ def near_duplicates(
     questions = stored(across(unsettled, sketched, least, block_rows), "near-questions")
     forget(spark)
     if not questions.isEmpty():
-        more = answered(questions, own.select("row", "component"), held, width, similarity, block_rows)
+        more = answered(questions, own.select("row", "component"), held, width, similarity, min(block_rows, ANSWER_ROWS))
         links = stored(links.unionByName(more), "near-all-links")
         forget(spark)
         joined = components(links)
