@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python task turns into arrays at once.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
