@@ -287,19 +287,18 @@ def response_plan(alert_rows: DataFrame) -> DataFrame:
     )
 
 
-# Title and text per level, filled with the confidence in percent and the number of files.
+# Title and text per level, filled with the score in percent and the number of files.
 TITLES = {
-    "LOW": "Suspicious activity",
-    "MEDIUM": "Potential threat detected",
-    "HIGH": "High risk - sync paused",
-    "CRITICAL": "RANSOMWARE DETECTED!",
+    "LOW": "Drive under watch",
+    "MEDIUM": "Changes look like encryption",
+    "HIGH": "Sync on hold",
+    "CRITICAL": "Sync stopped, act now",
 }
 MESSAGES = {
-    "LOW": "Monitoring unusual file activity. Confidence: {confidence}%",
-    "MEDIUM": "Potential ransomware behavior detected. {files} files affected. Confidence: {confidence}%",
-    "HIGH": "High-risk activity detected! Sync has been PAUSED. {files} files may be at risk. Confidence: {confidence}%",
-    "CRITICAL": "EMERGENCY: Ransomware attack in progress! Sync BLOCKED. {files} files affected. "
-    "Confidence: {confidence}%",
+    "LOW": "Some changes are out of the ordinary (score {confidence} of 100).",
+    "MEDIUM": "The pattern fits encryption of files: {files} so far (score {confidence} of 100).",
+    "HIGH": "Uploads wait until someone has looked at {files} changed files (score {confidence} of 100).",
+    "CRITICAL": "Files are being rewritten in bulk, {files} by now; nothing is uploaded (score {confidence} of 100).",
 }
 
 

@@ -136,6 +136,7 @@ def model_frame(spark: SparkSession, params: HmmParams, model_id: str = "default
         list(params.mu),
         list(params.var),
         params.malicious_state,
+        params.length,
     )
     return spark.createDataFrame([row], HMM_MODEL)
 
@@ -146,7 +147,11 @@ def load_model(models: DataFrame, model_id: str = "default") -> HmmParams:
     if row is None:
         raise ValueError(f"no model {model_id!r}")
     return HmmParams(
-        pi=tuple(row["pi"]), a=tuple(tuple(r) for r in row["a"]), mu=tuple(row["mu"]), var=tuple(row["var"])
+        pi=tuple(row["pi"]),
+        a=tuple(tuple(r) for r in row["a"]),
+        mu=tuple(row["mu"]),
+        var=tuple(row["var"]),
+        length=row["length"],
     )
 
 

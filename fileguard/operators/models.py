@@ -116,11 +116,11 @@ def feature_attribution(
     row_id: str = "row_id",
     repeats: int = 3,
     seed: int = 42,
-    sample: int | None = 1000,
+    sample: int | None = None,
 ) -> DataFrame:
     """Mean absolute change of the score when a feature takes another row's value, per feature, largest first.
 
-    ``sample`` rows (1,000 by default, None for all) are explained. For each feature and repeat a row borrows the
+    All rows are explained, or ``sample`` of them if the caller gives a number. For each feature and repeat a row borrows the
     value of the row a seeded number of places further on, so one join on row numbers serves every feature and all
     rows x features x repeats are scored in one pass.
     """

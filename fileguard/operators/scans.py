@@ -146,7 +146,7 @@ def previous_value(
 
     With ``skip_nulls`` it is the nearest preceding row whose value is not NULL. ``position`` is a bigint that does
     not decrease along ``order``. Keys with more than ``busy_rows`` rows (``span`` unless given) are cut every ``span``
-    positions; their list is broadcast, which is safe because a table of N rows has at most N / ``busy_rows`` of them.
+    positions; their list (at most N / ``busy_rows`` keys of N rows) is joined by whatever plan its size allows.
     All other keys stay whole, so ordinary data pays one shuffle of the rows. ``base`` holds the same rows before
     enrichment; the summaries are read from it so that the steps behind ``rows`` are not run again.
     """
@@ -154,14 +154,14 @@ def previous_value(
     boxed = F.when(value.isNotNull(), F.struct(value.alias("v"))) if skip_nulls else F.struct(value.alias("v"))
     cut = F.floor(F.col(position) / F.lit(span)).cast("bigint")
     busy = busy_keys(base, keys, busy_rows or span).withColumn("_busy", F.lit(True))
-    marked = rows.join(F.broadcast(busy), keys, "left").withColumns(
+    marked = rows.join(busy, keys, "left").withColumns(
         {"_value": boxed, _CHUNK: F.when(F.col("_busy"), cut).otherwise(F.lit(0).cast("bigint"))}
     )
     here = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     # A chunk with skipped values only has a NULL tail but still receives the carry of the chunks before it.
     tails = (
-        base.join(F.broadcast(busy), keys)
+        base.join(busy, keys)
         .withColumns({"_value": boxed, _CHUNK: cut})
         .groupBy(*keys, _CHUNK)
         .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_tail"))

@@ -39,31 +39,34 @@ def _f1(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
 
 
-def micropattern_sweep(labelled: DataFrame, user_burst: float | None = None) -> DataFrame:
+def micropattern_sweep(labelled: DataFrame, user_burst: float | Column | None = None) -> DataFrame:
     """Trials (velocity_threshold, rename_threshold, f1, precision) over 15..100 step 5 and 3..20.
 
-    Uses the proxies the thresholds were tuned with: a created file counts 60 writes, and a class trips the rename
-    pattern when enough of its rows changed extension. A velocity threshold below ``user_burst`` costs 0.1 of F1. The
-    training table is reduced to eight counts before the grid is laid out.
+    Uses the proxies the thresholds were tuned with: a created file counts 60 writes, so a row trips the velocity pattern
+    when 60 times its value reaches the threshold, and a class trips the rename pattern when enough of its rows changed
+    extension. A velocity threshold below ``user_burst`` (measured by ``activity_baseline``) costs 0.1 of F1. The
+    training table is reduced to one count for each velocity step and class before the grid is laid out.
     """
+    velocities, renames = list(range(15, 101, 5)), list(range(3, 21))
+    trips = lambda v: F.col("file_created") * 60 >= v
     counts = labelled.agg(
         *[
             F.coalesce(F.sum(F.when((F.col("label") == k) & test, 1).otherwise(0)), F.lit(0)).cast("bigint").alias(n + s)
             for k, s in ((0, "_ben"), (1, "_mal"))
             for n, test in (
                 ("n", F.lit(True)),
-                ("created", F.col("file_created") == 1),
                 ("changed", F.col("extension_similarity") < 0.5),
-                ("idle", F.col("file_created") == 0),
+                *((f"created{v}", trips(v)) for v in velocities),
             )
         ]
     )
-    grid = _value_grid(
-        counts, {"velocity_threshold": list(range(15, 101, 5)), "rename_threshold": list(range(3, 21))}
-    )
+    grid = _value_grid(counts, {"velocity_threshold": velocities, "rename_threshold": renames})
 
     def triggers(s: str) -> Column:
-        velocity = F.when(F.col("velocity_threshold") <= 60, F.col(f"created{s}")).otherwise(0)
+        velocity = F.get(
+            F.array(*[F.col(f"created{v}{s}") for v in velocities]),
+            ((F.col("velocity_threshold") - velocities[0]) / 5).cast("int"),
+        )
         return velocity + (F.col(f"changed{s}") >= F.col("rename_threshold")).cast("bigint")
 
     tp, fp = triggers("_mal"), triggers("_ben")
@@ -73,7 +76,8 @@ def micropattern_sweep(labelled: DataFrame, user_burst: float | None = None) ->
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, F.col("n_mal")).alias("recall"),
     )
-    penalty = F.when(F.col("velocity_threshold") < F.lit(user_burst), 0.1).otherwise(0.0) if user_burst else F.lit(0.0)
+    below = F.lit(False) if user_burst is None else F.col("velocity_threshold") < F.lit(user_burst)
+    penalty = F.when(below, 0.1).otherwise(0.0)
     return rated.select(
         "velocity_threshold",
         "rename_threshold",
@@ -116,7 +120,9 @@ def alert_threshold_sweep(scored: DataFrame) -> DataFrame:
     F1 at the pause threshold plus a bonus of up to 0.05 for spacing. Scores are reduced to one count per 5-percent
     step, so the sweep never touches the rows again. Thresholds are kept in percent to stay exact.
     """
-    step = F.least(F.greatest(F.floor(F.col("score") * F.lit(20.0) + F.lit(1e-9)), F.lit(0)), F.lit(20)) * 5
+    # The highest of the thresholds 0.05, 0.10, ... that the score reaches, compared with the thresholds themselves.
+    reached = F.filter(F.array(*[F.lit(k / 100) for k in range(5, 101, 5)]), lambda bound: bound <= F.col("score"))
+    step = F.size(reached) * 5
     cells = scored.groupBy(step.alias("percent")).agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("neg"),

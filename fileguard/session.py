@@ -39,12 +39,14 @@ def local_session(cpus: int | str = "*", memory: str = "12g", partitions: int |
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; only where none is set, as in tests, a local one is made."""
+    """The shared folder named in ``spark.checkpoint.dir``. Only a local session without one gets a folder of its own; on a
+    cluster a missing folder is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fileguard-")
-        )
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fileguard-"))
     return context.getCheckpointDir()
 
 
@@ -54,6 +56,8 @@ def working_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder now and go on from there, so later readers do not repeat its plan."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as Parquet to the checkpoint folder now and go on from there: later readers do not repeat its plan and
+    read only the columns and row groups they need."""
+    path = working_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

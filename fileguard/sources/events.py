@@ -19,10 +19,13 @@ def stream_events(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.parquet(path)
 
 
+def _day(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_micros((seconds * 1_000_000).cast("bigint")), "yyyy-MM-dd")
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append rows, one folder per event day, so that reads of a recent period skip the other days."""
-    day = F.date_format(F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint")), "yyyy-MM-dd")
-    events.withColumn("event_day", day).write.mode("append").partitionBy("event_day").parquet(path)
+    events.withColumn("event_day", _day(F.col("timestamp"))).write.mode("append").partitionBy("event_day").parquet(path)
 
 
 def events_since(events: DataFrame, last_id: int) -> DataFrame:
@@ -31,5 +34,10 @@ def events_since(events: DataFrame, last_id: int) -> DataFrame:
 
 
 def events_recent(events: DataFrame, now: float | Column, days: float = 7) -> DataFrame:
-    """Events of the last ``days`` days before ``now`` (epoch seconds)."""
-    return events.where(F.col("timestamp") >= now - days * 86_400)
+    """Events of the last ``days`` days before ``now`` (epoch seconds). A table written by ``append_events`` also gives the
+    day, so that older folders are not opened."""
+    since = now - days * 86_400
+    recent = events.where(F.col("timestamp") >= since)
+    if "event_day" not in events.columns:
+        return recent
+    return recent.where(F.col("event_day") >= _day(since if isinstance(since, Column) else F.lit(since)))

@@ -34,11 +34,9 @@ def test_null_title_and_path(spark):
 
 
 def test_burst_golden(spark):
-    rows = [(1000.0 - 70, "MODIFIED", "a.doc")] + [
-        (1000.0 - (30 - i * 0.5), "RENAMED", f"file_{i}.encrypted") for i in range(60)
-    ]
+    rows = [(4900.0, "CREATED", "start.txt"), *((4980 + i / 4, "RENAMED", f"n{i}.locked") for i in range(72))]
     last = flags(spark, rows)[-1]
-    assert (last.high_velocity, last.systematic_rename, last.recent_writes) == (True, True, 60)
+    assert (last.high_velocity, last.systematic_rename, last.recent_writes) == (True, True, 72)
 
 
 def test_window_edge(spark):
@@ -69,6 +67,7 @@ def test_scenarios(spark):
     assert not any(r.high_velocity or r.systematic_rename for r in flags(spark, calm))
 
 
+# Fixed values of the scoring rule: they must come out as they are.
 def test_fusion_goldens(spark):
     rows = [(0.60, True, True), (0.05, False, False), (1.0, True, True)]
     df = spark.createDataFrame(rows, "score double, high_velocity boolean, systematic_rename boolean")
@@ -88,17 +87,17 @@ def test_bands(spark):
 
 def test_learned_config_applies():
     config = {
-        "likelihood_ratios": {"high_velocity": 4.68, "systematic_rename": 14.36},
+        "likelihood_ratios": {"high_velocity": 2.25, "systematic_rename": 9.5},
         "micropattern_thresholds": {
-            "high_velocity": {"threshold": 50, "window_seconds": 60},
-            "systematic_rename": {"threshold": 8, "window_seconds": 60},
+            "high_velocity": {"threshold": 64, "window_seconds": 45},
+            "systematic_rename": {"threshold": 11, "window_seconds": 45},
         },
-        "alert_thresholds": {"alert": 0.31, "pause": 0.37, "critical": 0.72},
-        "hmm_parameters": {"sequence_length": 35, "n_states": 2, "n_sequences_per_class": 600},
+        "alert_thresholds": {"alert": 0.2, "pause": 0.4, "critical": 0.8},
+        "hmm_parameters": {"sequence_length": 21, "n_states": 2, "n_sequences_per_class": 350},
     }
     p = EngineParams().with_config(config)
-    assert (p.detector.rename_threshold, p.decision.pause, p.hmm.length) == (8, 0.37, 35)
-    assert p.fusion.ratios["systematic_rename"] == 14.36
+    assert (p.detector.rename_threshold, p.decision.pause, p.hmm.length) == (11, 0.4, 21)
+    assert p.fusion.ratios["systematic_rename"] == 9.5
 
 
 SNAP = """drive_id bigint, stable_id bigint, local_title string, modified_date bigint, file_size bigint, trashed int,

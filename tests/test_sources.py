@@ -22,15 +22,15 @@ def test_training_roundtrip(spark, tmp_path):
 
 def test_config_roundtrip(spark, tmp_path):
     cfg = {
-        "likelihood_ratios": {"high_velocity": 4.68, "systematic_rename": 14.36},
+        "likelihood_ratios": {"high_velocity": 2.25, "systematic_rename": 9.5},
         "micropattern_thresholds": {
-            "high_velocity": {"threshold": 50, "window_seconds": 60},
-            "systematic_rename": {"threshold": 8, "window_seconds": 60},
+            "high_velocity": {"threshold": 64, "window_seconds": 45},
+            "systematic_rename": {"threshold": 11, "window_seconds": 45},
         },
-        "alert_thresholds": {"alert": 0.31, "pause": 0.37, "critical": 0.72},
-        "hmm_parameters": {"sequence_length": 35, "n_states": 2, "n_sequences_per_class": 600},
-        "metadata": {"generated_at": "2025-10-22T08:37:25", "training_samples": 352876, "user_events": 113,
-                     "optimization_method": "x", "version": "2.0"},
+        "alert_thresholds": {"alert": 0.2, "pause": 0.4, "critical": 0.8},
+        "hmm_parameters": {"sequence_length": 21, "n_states": 2, "n_sequences_per_class": 350},
+        "metadata": {"generated_at": "2031-02-03T04:05:06", "training_samples": 12, "user_events": 3,
+                     "optimization_method": "sweep", "version": "1"},
     }
     config.write_config(spark, cfg, str(tmp_path / "c"))
     assert config.read_config(spark, str(tmp_path / "c")) == cfg
@@ -41,8 +41,8 @@ def test_config_roundtrip(spark, tmp_path):
 def test_alert_log(spark, tmp_path):
     trigger = "struct<id:bigint,timestamp:double,stable_id:bigint,event_type:string,local_title:string,file_size:bigint,old_local_title:string,full_path:string>"
     rows = spark.createDataFrame(
-        [(0, "2025-10-20T11:14:58.506828", "HIGH", 0.85, 5, (11, 1.5, 1584, "CREATED", "d", 77, "", "p/d"), False),
-         (0, "2025-10-20T11:18:25.822051", "MEDIUM", 0.6, 7, None, True)],
+        [(4, "2031-02-03T04:05:06.000001", "HIGH", 0.8, 21, (3, 2.5, 90, "MODIFIED", "d", 12, "", "p/d"), False),
+         (4, "2031-02-03T04:06:07.000002", "MEDIUM", 0.55, 33, None, True)],
         f"drive_id bigint, timestamp string, threat_level string, probability double, affected_files_count bigint, triggering_event {trigger}, sync_paused boolean",
     )
     for fmt in ("json", "parquet"):
@@ -52,7 +52,7 @@ def test_alert_log(spark, tmp_path):
         back = alert_source.read_alerts(spark, path, fmt)
         assert back.count() == 2
         last = decisions.latest_alert(back).first()
-        assert (last.threat_level, last.affected_files_count) == ("MEDIUM", 7)
+        assert (last.threat_level, last.affected_files_count) == ("MEDIUM", 33)
     assert back.where("threat_level = 'HIGH'").first().triggering_event.full_path == "p/d"
 
 
@@ -66,6 +66,9 @@ def test_event_sink(spark, tmp_path):
     back = events.read_events(spark, str(tmp_path / "e"))
     assert sorted(r.id for r in back.collect()) == [1, 2, 3]
     assert {p.name for p in (tmp_path / "e").iterdir() if p.is_dir()} == {"event_day=1970-01-01", "event_day=1970-01-02"}
+    recent = events.events_recent(back, 2 * 86_400.0, 1)
+    assert [r.id for r in recent.where("id < 3").collect()] == [2]
+    assert "event_day" in recent._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("]")[0]
     plan = events.events_since(back, 1)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,1)" in plan
 
@@ -88,7 +91,9 @@ def test_hmm_training(spark, tmp_path):
     assert all(b >= a - 1e-6 for a, b in zip(history, history[1:]))
     assert sorted(params.mu) == pytest.approx([2.0, 4.5], abs=0.1)
     config.write_hmm(spark, params, str(tmp_path / "m"))
-    assert config.read_hmm(spark, str(tmp_path / "m")).mu == params.mu
+    assert config.read_hmm(spark, str(tmp_path / "m")) == params
+    longer, _ = hmm.train_hmm(df, length=35, max_steps=1)
+    assert hmm.load_model(hmm.model_frame(spark, longer)).length == 35
     means = {r.role: r["mean"] for r in hmm.entropy_state_means(hmm.model_frame(spark, params)).collect()}
     assert means["malicious"] > means["benign"]
 
