@@ -99,19 +99,22 @@ def id_sets(previous: DataFrame, current: DataFrame) -> DataFrame:
     return p.join(c, keys, "full_outer").select(*keys, side.alias("side"))
 
 
-def snapshot_chain(snapshots: DataFrame) -> DataFrame:
+def snapshot_chain(snapshots: DataFrame, polls: DataFrame | None = None) -> DataFrame:
     """Typed events along a chain of snapshots (one row per drive, snapshot and file).
 
     Each drive's snapshots are numbered; a file absent from the next number was deleted there and created where it
     returns. A file has one row per snapshot, so its group is bounded by the number of snapshots. A drive's first
-    snapshot yields no events. The list of snapshots is one small row per poll.
+    snapshot yields no events. ``polls`` (drive_id, snapshot_id, snapshot_ts) lists snapshots that were taken, one small
+    row each; only it can tell that a poll found a drive empty, so that every file is gone.
     """
     keys = ["drive_id", "stable_id"]
     cols = [*_ATTRIBUTES, "full_path"]
     along = Window.partitionBy("drive_id").orderBy("snapshot_id")
+    taken = snapshots.select("drive_id", "snapshot_id", "snapshot_ts")
+    if polls is not None:
+        taken = taken.unionByName(polls.select("drive_id", "snapshot_id", "snapshot_ts"))
     polls = (
-        snapshots.select("drive_id", "snapshot_id", "snapshot_ts")
-        .distinct()
+        taken.distinct()
         .withColumn("seq", F.row_number().over(along))
         .withColumn("next_id", F.lead("snapshot_id").over(along))
         .withColumn("next_ts", F.lead("snapshot_ts").over(along))

@@ -452,6 +452,13 @@ def build() -> dict[str, str]:
         round(case when ks is null then 0.0 else (m1-m0)/(sqrt((v0+v1)/2.0)+1e-10) end,4) as cohens_d
       from st left join gp on gp.len=st.len and gp.ns=st.ns"""
     trials = "with t as (select p_partkey as trial, cast(p_size as double) as f1, p_retailprice as f2 from part)"
+    q["snapshot_chain_emptied"] = q["snapshot_chain"].replace("with sn as", "with sn0 as").replace(
+        "po as (select distinct drive_id, snapshot_id from sn)",
+        "sn as (select * from sn0 where snapshot_id<>5), po as (select distinct drive_id, snapshot_id from sn0)",
+    )
+    q["rejected_events"] = _with(EVENTS) + """, g as (select case when id%1000=8 then null else drive_id end as drive_id,
+        case id%1000 when 9 then 'id' when 7 then 'timestamp' when 8 then 'drive_id' end as missing from fe)
+      select drive_id, missing, count(*) as n from g where missing is not null group by 1,2"""
     q["train_classifier"] = _with(LABELLED) + """ select case label when 1 then 'ransom' else 'good' end as "row", count(*) as support, true as f1_reached
         from sp where split='test' group by label"""
     q["feature_attribution"] = f"""select unnest({list(FEATURES)!r}) as feature, false as constant_moves,

@@ -24,6 +24,7 @@ from fileguard.plans import adapters, detection
 from fileguard.plans.oracles import PARAMS, SINCE_ID
 from fileguard.schemas import FEATURES
 from fileguard.session import cut_lineage, working_folder
+from fileguard.sources import events as event_source
 from fileguard.sources.events import events_recent, events_since
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +136,22 @@ def snapshot_chain(spark, d):
     return snapshots.snapshot_chain(adapters.snapshot_series(spark, d))
 
 
+@query
+def snapshot_chain_emptied(spark, d):
+    """The fifth poll finds both drives empty: it has no rows, but it is in the list of polls."""
+    rows = adapters.snapshot_series(spark, d)
+    polls = rows.select("drive_id", "snapshot_id", "snapshot_ts").distinct()
+    return snapshots.snapshot_chain(rows.where("snapshot_id <> 5"), polls)
+
+
+@query
+def rejected_events(spark, d):
+    """Every thousandth event lacks its time, its drive or its id."""
+    rows, place = adapters.file_events(spark, d), F.col("id") % 1000
+    gaps = {c: F.when(place == k, None).otherwise(F.col(c)) for k, c in ((7, "timestamp"), (8, "drive_id"), (9, "id"))}
+    return event_source.rejected_events(rows.withColumns(gaps))
+
+
 @query
 def text_functions(spark, d):
     names = adapters.file_events(spark, d).select("full_path", "local_title").distinct()
