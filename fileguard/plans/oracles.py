@@ -497,4 +497,8 @@ def build() -> dict[str, str]:
     q["recent_timeline"] = _with(*_SCORED) + f""" select drive_id, rank, id, event_type, full_path, round(fused,6) as fused,
         {LEVEL.replace('threat','fused')} as threat_level from (select *, row_number() over (partition by drive_id order by id desc) as rank from fu)
         where rank<=50"""
+    q["previous_title_chunked"] = q["previous_title"]
+    q["restore_points_chunked"] = q["restore_points"]
+    q["batch_threat_chunked"] = _with(*_BATCHED) + """ select drive_id, batch, round(threat,6) as threat, cast(events as bigint) as events
+        from bt"""
     return q

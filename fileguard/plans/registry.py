@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from fileguard.operators import (
     tuning,
 )
 from fileguard.plans import adapters, detection
+from fileguard.params import ScanParams
 from fileguard.plans.oracles import PARAMS, SINCE_ID
 from fileguard.schemas import FEATURES
 from fileguard.session import cut_lineage, working_folder
@@ -175,6 +177,28 @@ def previous_title(spark, d):
     return rows.select("id", "drive_id", "stable_id", "previous_title")
 
 
+#: Cuts so small that every busy key has many chunks at the test sizes: the twins below prove the carries between chunks.
+CHUNKED = replace(PARAMS, scan=ScanParams(chunk_seconds=45, rows_per_chunk=300))
+
+
+@query
+def previous_title_chunked(spark, d):
+    rows = features.previous_title(adapters.file_events(spark, d), CHUNKED.scan)
+    return rows.select("id", "drive_id", "stable_id", "previous_title")
+
+
+@query
+def batch_threat_chunked(spark, d):
+    scored = detection.scored_events(adapters.file_events(spark, d), CHUNKED)
+    rows = decisions.batch_threat(scored, CHUNKED.decision, CHUNKED.scan)
+    return rows.select("drive_id", "batch", rounded("threat"), "events")
+
+
+@query
+def restore_points_chunked(spark, d):
+    return forensics.restore_points(adapters.file_events(spark, d), _attacked(spark, d), CHUNKED.scan)
+
+
 @query
 def file_features(spark, d):
     rows = features.file_features(adapters.file_events(spark, d), "/", PARAMS.scan)
