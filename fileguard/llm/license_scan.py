@@ -32,7 +32,7 @@ NOTICES = [
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("cc0", "cc zero"), ("v2", "version 2"), ("v3", "version 3"), ("noncommercial", "nc"), ("organisation", "organization")]
 
 #: A line that begins like this states a holder or a year; "copyright" alone can be a word of a wrapped notice.
-HOLDER = r"(?im)^[^\p{L}\n\x{A9}]*(copyright\b(?=[^\n]*(\d{4}|\(c\)|\x{A9}|\bby\b))|\(c\)|\x{A9})[^\n]*$"
+HOLDER = r"(?im)^[^\p{L}\n\x{A9}]*(copyright\b[^\n]*(\d{4}|\(c\)|\x{A9}|\bby\b)|\(c\)|\x{A9})[^\n]*$"
 
 
 def canonical(text: Column, spelled: bool = True) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fileguard.llm.license_scan import HOLDER, NOTICES, SPELLINGS
+
 # 5-word windows as text; the words that any repeated window covers are counted.
 QUALITY = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -74,4 +76,34 @@ SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || said
 FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY p.conv_id
 """
 
-ORACLES = {"op8_quality_rules": QUALITY, "op9_chat_format": CHAT}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    text = f"regexp_replace({text}, {_quoted(HOLDER)}, '', 'g')"
+    text = f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for other, word in SPELLINGS:
+        text = f"regexp_replace({text}, '\\b{other}\\b', '{word}', 'g')"
+    return text
+
+
+def _unit(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[ \\n]+', ' ', 'g'))"
+
+
+LICENSES = f"""
+WITH n AS (SELECT unnest({[list(x) for x in NOTICES]!r}) AS x),
+k AS (SELECT sha256({_unit(_canonical("x[2]"))}) AS digest, min(x[1]) AS license_id FROM n GROUP BY 1),
+c AS (SELECT doc_id, {_canonical("coalesce(text, '')")} AS form FROM documents),
+w AS (SELECT doc_id, sha256({_unit("form")}) AS digest FROM c),
+l AS (SELECT doc_id, sha256(trim(line)) AS digest FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM c)
+      WHERE trim(line) <> ''),
+f AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM l JOIN k USING (digest) GROUP BY 1)
+SELECT w.doc_id, w.digest, k.license_id, coalesce(f.n, 0)::BIGINT AS n_license_lines, coalesce(f.ids, '') AS line_licenses
+FROM w LEFT JOIN k USING (digest) LEFT JOIN f ON f.doc_id = w.doc_id
+"""
+
+ORACLES = {"op3_license_scan": LICENSES, "op8_quality_rules": QUALITY, "op9_chat_format": CHAT}
