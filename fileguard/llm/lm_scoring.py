@@ -103,7 +103,8 @@ def cross_entropy_difference(df: DataFrame, target: DataFrame) -> DataFrame:
             )
 
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    marked = docs.join(ids.withColumn("marked", F.lit(True)), "doc_id", "left").select(
+    # The ids grow with the corpus, so they are never broadcast.
+    marked = docs.join(ids.withColumn("marked", F.lit(True)).hint("merge"), "doc_id", "left").select(
         "text", F.coalesce("marked", F.lit(False)).alias("marked")
     )
     grams = marked.mapInArrow(counted, COUNTS).groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
