@@ -108,31 +108,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd number modulo 2^64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, self.base)])
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, self.inverse)])
-        return self.up, self.down
-
-
-_POWERS: dict[int, Powers] = {}
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of each span [start, end) of ``raw``; equal bytes have equal hashes wherever they stand."""
-    up, down = _POWERS.setdefault(base, Powers(base)).upto(len(raw) + 1)
+    """A 64-bit hash of each span [start, end) of ``raw``; equal bytes have equal hashes wherever they stand.
+
+    The powers are made anew each time: what a task keeps in a module's globals stays in its worker until the garbage of
+    cycles is collected, since functions are shipped by value.
+    """
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(base, len(raw)), out=sums[1:])
+    values = sums[ends] - sums[starts]
+    del sums
+    values *= powers(pow(base, -1, 1 << 64), len(raw) + 1)[starts]
+    return mixed(values + (ends - starts).astype(np.uint64))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd number modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,7 +10,6 @@ rejects texts that fit no model; both are fitted on texts that the models have n
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -221,9 +220,6 @@ def fit(df: DataFrame, fit_chars: int = FIT_CHARS) -> Models:
     return calibrated(models, [r["text"] for r in tests], [r["lang"] for r in tests])
 
 
-_MODELS: dict[str, Models] = {}
-
-
 def identify(df: DataFrame, models: Models) -> DataFrame:
     """doc_id, lang_pred, score (confidence, 0 to 1), cross_entropy (nats a character, of the best) and rejected, for each row.
 
@@ -231,13 +227,10 @@ def identify(df: DataFrame, models: Models) -> DataFrame:
     Other texts get a language even if rejected. Ties go to the language that sorts first. Rows are judged each by itself,
     a null doc_id stays null, an empty table gives an empty result, further columns are ignored.
     """
-    shared, key = df.sparkSession.sparkContext.broadcast(vars(models)), uuid.uuid4().hex
+    shared = df.sparkSession.sparkContext.broadcast(vars(models))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Models(**shared.value)
-        model = _MODELS[key]
+        model = Models(**shared.value)
         for batch in batches:
             for piece in pieces(batch):
                 texts = piece.column("text").to_pylist()

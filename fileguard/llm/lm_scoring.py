@@ -10,7 +10,6 @@ more it resembles the target.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,9 +58,6 @@ def witten_bell(code: np.ndarray, count: np.ndarray, order: int = ORDER) -> np.n
     return -np.log2(lower)
 
 
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def cross_entropy_difference(df: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens (bytes), loss_target, loss_background (mean bits a token) and score for every row of ``df``.
 
@@ -111,22 +107,19 @@ def cross_entropy_difference(df: DataFrame, target: DataFrame) -> DataFrame:
     table = stored(grams, "lm-counts").toArrow()
     code = table.column("code").to_numpy()
     losses = [witten_bell(code, table.column(c).to_numpy().astype(float)).astype(np.float32) for c in ("target", "background")]
-    shared, key = spark.sparkContext.broadcast((code, *losses)), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((code, *losses))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _TABLES:
-            _TABLES.clear()
-            known, *values = shared.value
-            dense = tuple(np.zeros(1 << (BITS * ORDER), np.float32) for _ in values)
-            for d, v in zip(dense, values, strict=True):
-                d[known] = v
-            _TABLES[key] = dense
+        known, *values = shared.value
+        tables = [np.zeros(1 << (BITS * ORDER), np.float32) for _ in values]
+        for dense, value in zip(tables, values, strict=True):
+            dense[known] = value
         for batch in batches:
             for piece in pieces(batch):
                 raw, offsets = buffer(piece.column("text"))
                 code, n = codes(raw, offsets, symbols), np.diff(offsets)
                 means = []
-                for dense in _TABLES[key]:
+                for dense in tables:
                     total = np.zeros(len(n))
                     if len(raw):
                         some = n > 0

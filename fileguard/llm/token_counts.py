@@ -4,7 +4,7 @@ A *stable boundary* is a place where an ASCII blank meets another character. The
 its normaliser, its splitting pattern or its added tokens reaches across a blank, so tokens before and after such a place
 never depend on each other. Hence
 
-* a text of usual length is the sum of its blank-separated words. Each worker encodes a word once and remembers its count in
+* a text of usual length is the sum of its blank-separated words. Each task encodes a word once and remembers its count in
   a table of bounded size;
 * a huge text is encoded in chunks that overlap. The token starts that both neighbours report in the overlap are compared;
   the chunks are spliced at the first stable boundary at which both report a token and agree from there on. If there is
@@ -87,7 +87,7 @@ def count_huge(text: str, encode: Encode, chunk: int = CHUNK_CHARS, overlap: int
 
 
 class Counter:
-    """Counts tokens with one library tokenizer; kept by a worker between batches."""
+    """Counts tokens with one library tokenizer; kept by a task between batches."""
 
     def __init__(self, path: str, chunk: int, overlap: int, remembered: int):
         from tokenizers import Tokenizer
@@ -118,9 +118,6 @@ class Counter:
         ]
 
 
-_COUNTERS: dict[tuple, Counter] = {}
-
-
 def token_counts(
     df: DataFrame,
     tokenizer: str = "word_bpe_49k.json",
@@ -135,17 +132,13 @@ def token_counts(
     Null and empty texts have no byte and no token; a null ``doc_id`` stays null; repeated rows are counted each by itself;
     an empty table gives an empty result; further columns are ignored.
     """
-    key = (tokenizer, chunk, overlap, remembered)
-
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
 
-        if key not in _COUNTERS:
-            _COUNTERS[key] = Counter(public_tokenizers.path(tokenizer), chunk, overlap, remembered)
-        counter = _COUNTERS[key]
+        counter = Counter(public_tokenizers.path(tokenizer), chunk, overlap, remembered)
         for batch in batches:
             for piece in pieces(batch):
                 texts = piece.column("text").to_pylist()
