@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fileguard.llm import oracles
+from fileguard.llm.character_lm import character_difference
 from fileguard.llm.chat_format import chat_windows, read_back
 from fileguard.llm.common import read
 from fileguard.llm.decontamination import decontaminate
 from fileguard.llm.exact_substrings import remove_repeats
 from fileguard.llm.language_id import fit, identify, training_rows
 from fileguard.llm.license_scan import license_scan
-from fileguard.llm.lm_scoring import cross_entropy_difference
 from fileguard.llm.near_duplicates import near_duplicates
 from fileguard.llm.packing import pack
 from fileguard.llm.quality_rules import quality_rules
@@ -23,7 +23,7 @@ from fileguard.llm.token_counts import token_counts
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return cross_entropy_difference(read(spark, sf_dir, "documents"), good)
+    return character_difference(read(spark, sf_dir, "documents"), good)
 
 
 def op2_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
