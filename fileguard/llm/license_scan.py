@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileguard.llm.common import documents
+from fileguard.llm.license_texts import TEXTS
 
 #: Notices known by default, by SPDX identifier; a caller can give a table (license_id, text) of any size instead.
 NOTICES = [
@@ -28,6 +29,55 @@ NOTICES = [
     ("Proprietary", "All rights reserved."),
 ]
 
+_MIT = next(text for name, text in NOTICES if name == "MIT" and len(text) > 500)
+_ISC = (
+    'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, '
+    'provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" '
+    'AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+    'FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES '
+    'WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS '
+    'ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+)
+_BSD = (
+    'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following '
+    'conditions are met: {0}Redistributions of source code must retain the above copyright notice, this list of conditions and the '
+    'following disclaimer. {1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and '
+    'the following disclaimer in the documentation and/or other materials provided with the distribution. {2}'
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT {3} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT '
+    'NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT '
+    'SHALL THE COPYRIGHT {4} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL '
+    'DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS '
+    'INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING '
+    'NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+)
+_NAMES = (
+    'Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived '
+    'from this software without specific prior written permission. '
+)
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+    'License. You may obtain a copy of the License at http{0}://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law '
+    'or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
+    'CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and '
+    'limitations under the License.'
+)
+# Whole texts: with and without title, with numbered, bulleted or plain clauses, holder in singular or plural.
+NOTICES += [("MIT", f"{title} {_MIT}") for title in ("MIT License", "The MIT License", "The MIT License (MIT)")]
+NOTICES += [("ISC", f"{title}{_ISC}") for title in ("", "ISC License ", "The ISC License ", "ISC License (ISC) ")]
+NOTICES += [
+    (f"BSD-{clauses}-Clause", title + _BSD.format(*marks[:2], marks[2] + _NAMES if clauses == 3 else "", *holders))
+    for clauses, titles in (
+        (2, ("", "BSD 2-Clause License ", "The BSD 2-Clause License ", "All rights reserved. ", "BSD 2-Clause License All rights reserved. ")),
+        (3, ("", "BSD 3-Clause License ", "The BSD 3-Clause License ", "All rights reserved. ", "BSD 3-Clause License All rights reserved. ")),
+    )
+    for title in titles
+    for marks in (("", "", ""), ("1. ", "2. ", "3. "))
+    for holders in (("HOLDERS", "HOLDER"), ("HOLDERS", "HOLDERS"), ("HOLDER", "HOLDER"))
+]
+NOTICES += [("Apache-2.0", _APACHE.format(s)) for s in ("", "s")]
+NOTICES += [("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");')]
+NOTICES += TEXTS
+
 #: Spellings that mean the same, as words of the canonical form.
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("cc0", "cc zero"), ("v2", "version 2"), ("v3", "version 3"), ("noncommercial", "nc"), ("organisation", "organization")]
 
