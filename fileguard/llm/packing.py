@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fileguard.llm.common import documents, stored
+from fileguard.llm.token_counts import token_counts
 
 N_BUCKETS = 16
 BUDGET = 1 << 16
@@ -72,15 +73,20 @@ def boundaries(lengths: list[int], counts: list[int], k: int) -> list[int]:
 
 
 def pack(
-    df: DataFrame, n_buckets: int = N_BUCKETS, budget: int = BUDGET, rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, n_buckets: int = N_BUCKETS, budget: int = BUDGET, rows_per_chunk: int = ROWS_PER_CHUNK, tokenizer: str | None = None
 ) -> DataFrame:
-    """doc_id, n_tokens (words), bucket, boundary (padded length), batch (number inside the bucket) and slot for every row.
+    """doc_id, n_tokens, bucket, boundary (padded length), batch (number inside the bucket) and slot for every row.
 
+    Lengths and budget are tokens of ``tokenizer`` (a vocabulary file, see ``token_counts``); without one they are words.
     Null and empty texts have length 0 and go to the first bucket; a null ``doc_id`` stays null; repeated rows are packed
     each by itself; an empty table gives an empty result; further columns are ignored. A row longer than the budget is a
     batch by itself. To the driver go the histogram (at most some 40,000 bins) and one count for each bucket.
     """
-    sized = stored(documents(df).select("doc_id", word_count(F.col("text")).alias("n_tokens")), "packing-lengths")
+    if tokenizer is None:
+        sized = documents(df).select("doc_id", word_count(F.col("text")).alias("n_tokens"))
+    else:
+        sized = token_counts(df, tokenizer).select("doc_id", "n_tokens")
+    sized = stored(sized, "packing-lengths")
     bins = sized.groupBy(binned(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
     ends = boundaries([r["bin"] for r in bins], [r["n"] for r in bins], n_buckets)
     if not ends:

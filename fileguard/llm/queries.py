@@ -39,7 +39,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"))
+    return pack(read(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
