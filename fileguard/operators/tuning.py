@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fileguard.operators.metrics import place_in_ranges, ratio, score_counts, with_totals_below
 from fileguard.operators.models import class_rows
+from fileguard.session import cut_lineage
 
 
 def likelihood_ratios(flagged: DataFrame, flags: tuple[str, ...] = ("high_velocity", "systematic_rename")) -> DataFrame:
@@ -156,16 +157,21 @@ def alert_threshold_sweep(scored: DataFrame) -> DataFrame:
 def chunk_means(
     labelled: DataFrame,
     lengths: list[int],
-    per_class: int,
+    per_class: int | None,
     value: str = "file_name_entropy",
     row_id: str = "row_id",
 ) -> DataFrame:
-    """(length, label, chunk, mean) over each class's first ``per_class`` consecutive full chunks of every length.
+    """(length, label, chunk, mean) over each class's first ``per_class`` consecutive full chunks of every length;
+    over all of them if ``per_class`` is None.
 
     Rows no chunk of any length can reach are left out before they are repeated per length.
     """
-    reachable = class_rows(labelled, value, row_id).where(F.col("pos") < per_class * max(lengths))
-    rows = _value_grid(reachable, {"length": lengths}).where(F.col("pos") < F.col("length") * per_class)
+    rows = class_rows(labelled, value, row_id)
+    if per_class is not None:
+        rows = rows.where(F.col("pos") < per_class * max(lengths))
+    rows = _value_grid(rows, {"length": lengths})
+    if per_class is not None:
+        rows = rows.where(F.col("pos") < F.col("length") * per_class)
     return (
         rows.groupBy("length", "label", F.floor(F.col("pos") / F.col("length")).cast("bigint").alias("chunk"))
         .agg(F.avg(value).alias("mean"), F.count("*").alias("_n"))
@@ -180,10 +186,11 @@ def hmm_separability(
     n_sequences: list[int] = list(range(300, 1501, 100)),
     value: str = "file_name_entropy",
     row_id: str = "row_id",
+    whole: bool = True,
 ) -> DataFrame:
     """Trials (sequence_length, n_sequences, ks, cohens_d): how far the classes' chunk means lie apart.
 
-    Every trial uses at most ``n_sequences`` chunks per class, so after the chunk means the data is bounded by the
+    With ``whole``, each length has one more trial over all full chunks, whose ``n_sequences`` is null. Every other trial uses at most ``n_sequences`` chunks per class, so after the chunk means the data is bounded by the
     grid: lengths x the largest number of sequences x 2 rows.
     """
     means = chunk_means(labelled, lengths, max(n_sequences), value, row_id)
@@ -207,12 +214,46 @@ def hmm_separability(
     ks = gaps.groupBy(*keys).agg(F.max(F.abs(F.col("c0") / F.col("n0") - F.col("c1") / F.col("n1"))).alias("ks"))
     pooled = F.sqrt((F.col("v0") + F.col("v1")) / F.lit(2.0)) + F.lit(1e-10)
     both = F.col("ks").isNotNull()
-    return stats.join(ks, keys, "left").select(
+    bounded = stats.join(ks, keys, "left").select(
         F.col("length").alias("sequence_length"),
         "n_sequences",
         F.coalesce("ks", F.lit(0.0)).alias("ks"),
         F.when(both, (F.col("m1") - F.col("m0")) / pooled).otherwise(0.0).alias("cohens_d"),
     )
+    return bounded.unionByName(separability_of_all(labelled, lengths, value, row_id)) if whole else bounded
+
+
+def separability_of_all(
+    labelled: DataFrame, lengths: list[int], value: str = "file_name_entropy", row_id: str = "row_id"
+) -> DataFrame:
+    """The trial over all full chunks for every length, with a null ``n_sequences``; no length is ordered in one task."""
+    means = cut_lineage(chunk_means(labelled, lengths, None, value, row_id))
+    is_mal = F.col("label") == 1
+    trials = []
+    for length in lengths:
+        own = means.where(F.col("length") == length)
+        stats = own.agg(
+            F.count_if(~is_mal).alias("n0"),
+            F.count_if(is_mal).alias("n1"),
+            F.avg(F.when(is_mal, F.col("mean"))).alias("m1"),
+            F.avg(F.when(~is_mal, F.col("mean"))).alias("m0"),
+            F.var_pop(F.when(is_mal, F.col("mean"))).alias("v1"),
+            F.var_pop(F.when(~is_mal, F.col("mean"))).alias("v0"),
+        ).where("n0 + n1 > 0")
+        values = own.groupBy("mean").agg(F.count_if(~is_mal).alias("c0"), F.count_if(is_mal).alias("c1"))
+        steps = with_totals_below(values, "mean", ["c0", "c1"]).crossJoin(stats.select("n0", "n1")).where("n0 > 0 and n1 > 0")
+        gap = (F.col("c0_below") + F.col("c0")) / F.col("n0") - (F.col("c1_below") + F.col("c1")) / F.col("n1")
+        pooled = F.sqrt((F.col("v0") + F.col("v1")) / F.lit(2.0)) + F.lit(1e-10)
+        trials.append(stats.crossJoin(steps.agg(F.max(F.abs(gap)).alias("ks"))).select(
+            F.lit(length).alias("sequence_length"),
+            F.lit(None).cast("int").alias("n_sequences"),
+            F.coalesce("ks", F.lit(0.0)).alias("ks"),
+            F.when(F.col("ks").isNotNull(), (F.col("m1") - F.col("m0")) / pooled).otherwise(0.0).alias("cohens_d"),
+        ))
+    out = trials[0]
+    for trial in trials[1:]:
+        out = out.unionByName(trial)
+    return out
 
 
 def ks_statistic(scored: DataFrame, score: str = "score") -> DataFrame:

@@ -451,6 +451,9 @@ def build() -> dict[str, str]:
       select cast(st.len as int) as sequence_length, cast(st.ns as int) as n_sequences, round(coalesce(ks,0.0),6) as ks,
         round(case when ks is null then 0.0 else (m1-m0)/(sqrt((v0+v1)/2.0)+1e-10) end,4) as cohens_d
       from st left join gp on gp.len=st.len and gp.ns=st.ns"""
+    q["hmm_separability_all_chunks"] = q["hmm_separability"].replace("select unnest(range(300,1501,100)) as ns", "select 0 as ns").replace(
+        "from cm, ns where chunk<ns", "from cm, ns"
+    ).replace("cast(st.ns as int) as n_sequences", "cast(null as int) as n_sequences")
     trials = "with t as (select p_partkey as trial, cast(p_size as double) as f1, p_retailprice as f2 from part)"
     q["snapshot_chain_emptied"] = q["snapshot_chain"].replace("with sn as", "with sn0 as").replace(
         "po as (select distinct drive_id, snapshot_id from sn)",

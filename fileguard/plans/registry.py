@@ -473,7 +473,13 @@ def alert_threshold_sweep(spark, d):
 
 @query
 def hmm_separability(spark, d):
-    rows = tuning.hmm_separability(adapters.labelled_features(spark, d))
+    rows = tuning.hmm_separability(adapters.labelled_features(spark, d), whole=False)
+    return rows.withColumns({"ks": F.round("ks", 6), "cohens_d": F.round("cohens_d", 4)})
+
+
+@query
+def hmm_separability_all_chunks(spark, d):
+    rows = tuning.separability_of_all(adapters.labelled_features(spark, d), list(range(10, 36, 5)))
     return rows.withColumns({"ks": F.round("ks", 6), "cohens_d": F.round("cohens_d", 4)})
 
 
