@@ -20,6 +20,7 @@ from fileguard.llm.packing import pack
 from fileguard.llm.quality_rules import quality_rules
 from fileguard.llm.spelling_variants import spelling_variants
 from fileguard.llm.token_counts import token_counts
+from fileguard.llm.whitening import whiten
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +96,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lm_scoring, op2_exact_substrings, op3_license_scan, op4_minhash_near_dedup, op5_packing, op6_language_id, op7_token_counts, op8_quality_rules, op9_chat_format, op10_decontamination,
-        op11_spelling_variants,
+        op11_spelling_variants, op12_embedding_whitening,
     )
 }
 
