@@ -17,6 +17,7 @@ from fileguard.llm.language_id import fit, identify, training_rows
 from fileguard.llm.license_scan import license_scan
 from fileguard.llm.near_duplicates import near_duplicates
 from fileguard.llm.packing import pack
+from fileguard.llm.personal_data import fitted, personal_data
 from fileguard.llm.quality_rules import quality_rules
 from fileguard.llm.spelling_variants import spelling_variants
 from fileguard.llm.token_counts import token_counts
@@ -100,10 +101,15 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return personal_data(docs, fitted(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lm_scoring, op2_exact_substrings, op3_license_scan, op4_minhash_near_dedup, op5_packing, op6_language_id, op7_token_counts, op8_quality_rules, op9_chat_format, op10_decontamination,
-        op11_spelling_variants, op12_embedding_whitening,
+        op11_spelling_variants, op12_embedding_whitening, op13_personal_data,
     )
 }
 
