@@ -17,6 +17,8 @@ ROUNDS = 24
 TINY = np.finfo(float).eps
 #: Share of the matrix norm below which an eigenvalue is rounding: above it, its own relative error stays below 1e-4.
 NOISE = 1e-11
+#: Share of the matrix norm below which neighbours are not cut apart.
+CLOSE = 1e-9
 PIVOT = (1 + 17**0.5) / 8
 
 
@@ -56,10 +58,10 @@ def count_above(matrix: np.ndarray, shift: float) -> int:
 
 
 def cut_below(matrix: np.ndarray, j: int, low: float, high: float) -> tuple[float, int]:
-    """A number with ``j`` eigenvalues above it, in the middle of their gap, and j; if the j-th and the next are equal to double
-    precision, a number below all that are equal to them and how many lie above that."""
+    """A number with ``j`` eigenvalues above it, in the middle of their gap, and j; if the j-th and the next are closer than
+    ``CLOSE``, a number below all that lie together and how many are above that."""
     a, b = low, high
-    while b - a > 4 * TINY * high:
+    while b - a > CLOSE * high:
         middle = (a + b) / 2
         count = count_above(matrix, middle)
         if count == j:
@@ -95,8 +97,9 @@ def ritz(matrix: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return values[::-1], (u @ turns)[:, ::-1]
 
 
-def interval(matrix: np.ndarray, low: float, high: float, expected: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``expected`` pairs with eigenvalues in (low, high); the subspace is doubled until all of them are found."""
+def interval(matrix: np.ndarray, low: float, high: float, above: int, expected: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``expected`` pairs with eigenvalues in (low, high), below ``above`` larger ones; the subspace is doubled until all of
+    them are found."""
     n, scale = len(matrix), np.abs(matrix).max()
     size = min(n, 2 * expected + 2)
     while True:
@@ -112,7 +115,7 @@ def interval(matrix: np.ndarray, low: float, high: float, expected: int) -> tupl
         if size == n:
             # The whole space: Rayleigh-Ritz is complete whatever the filter did.
             values, vectors = ritz(matrix, np.eye(n))
-            return values[:expected], vectors[:, :expected]
+            return values[above : above + expected], vectors[:, above : above + expected]
         size = min(n, 2 * size)
 
 
@@ -132,7 +135,7 @@ def largest(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     while done < k:
         low, count = cut_below(unit, min(k, done + SLICE), zero, top)
         low = max(low, zero)
-        values, vectors = interval(unit, low, top, count - done)
+        values, vectors = interval(unit, low, top, done, count - done)
         found.append(vectors)
         done, top = count, low
     values, vectors = ritz(unit, np.hstack(found)) if found else (np.zeros(0), np.zeros((n, 0)))
