@@ -4,8 +4,9 @@ A *stable boundary* is a place where an ASCII blank meets another character. The
 its normaliser, its splitting pattern or its added tokens reaches across a blank, so tokens before and after such a place
 never depend on each other. Hence
 
-* a text of usual length is the sum of its blank-separated words. Each task encodes a word once and remembers its count in
-  a table of bounded size;
+* a text of usual length is the sum of its blank-separated words. Signs that close a word after an ASCII letter or digit are
+  counted by themselves, since the splitting pattern keeps the two apart. Each task encodes a word once, many words in one
+  call, and remembers its count in a table of bounded size;
 * a huge text is encoded in chunks that overlap. The token starts that both neighbours report in the overlap are compared;
   the chunks are spliced at the first stable boundary at which both report a token and agree from there on. If there is
   none, the overlap is doubled, at last up to the whole text, so the count is always that of the whole text.
@@ -13,17 +14,27 @@ never depend on each other. Hence
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from fileguard.llm.common import documents, pieces, record
+from fileguard.llm.common import buffer, documents, lowered, pieces, record, words
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
 REMEMBERED_WORDS = 1 << 20
+#: Bytes of text whose words are told apart at once.
+PIECE = 1 << 22
+#: Words encoded by one call.
+TOGETHER = 64
+
+#: Bytes that close a word, and bytes after which they are cut off.
+CLOSING = np.isin(np.arange(256), [ord(c) for c in ",.;:!?)"])
+PLAIN = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 
 BLANKS = " \t\n\r\x0b\x0c"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, n_chunks int"
@@ -93,29 +104,66 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.chunk, self.overlap, self.remembered = Tokenizer.from_file(path), chunk, overlap, remembered
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
         self.known: dict[str, int] = {}
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         return self.tokenizer.encode(text, add_special_tokens=False).offsets
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.remembered:
+    def learn(self, new: list[str]) -> None:
+        if len(self.known) + len(new) > self.remembered:
             self.known = {}
-        codes = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update(zip(words, map(len, codes), strict=True))
-
-    def count(self, texts: list[str]) -> list[tuple[int, int]]:
-        split = [re.split(r"[ \t-\r]+", t) if len(t) <= self.chunk + self.overlap else None for t in texts]
-        distinct = {w for s in split if s for w in s}
+        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        codes = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, code in zip(groups, codes, strict=True):
+            begin = np.cumsum([0, *(len(w) + 1 for w in group[:-1])])
+            place = np.searchsorted(begin, [s for s, _ in code.offsets], side="right") - 1
+            self.known.update(zip(group, np.bincount(place, minlength=len(group)).tolist(), strict=True))
+
+    def codes(self, distinct: list[str]) -> np.ndarray:
+        """Tokens of each of some distinct words."""
         if new := [w for w in distinct if w not in self.known]:
             self.learn(new)
             if len(self.known) < len(distinct):  # the table was emptied: words of this piece are needed once more
                 self.learn([w for w in distinct if w not in self.known])
-        known = self.known
-        return [
-            (sum(map(known.__getitem__, s)), 1) if s is not None else count_huge(t, self.offsets, self.chunk, self.overlap)
-            for t, s in zip(texts, split, strict=True)
-        ]
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+
+    def summed(self, column: pa.Array) -> np.ndarray:
+        """Tokens of each text as the sum over its blank-separated words. Words are told apart as Arrow strings, so Python sees
+        a word once a piece."""
+        raw, offsets = buffer(column)
+        starts, ends, _ = words(raw, offsets)
+        if not len(starts):
+            return np.zeros(len(column), np.int64)
+        closing = CLOSING[raw]
+        last = np.maximum.accumulate(np.where(closing, -1, np.arange(len(raw))))[ends - 1] + 1
+        split = last[(last > starts) & (last < ends) & PLAIN[raw[np.maximum(last, 1) - 1]]]
+        starts = np.sort(np.r_[starts, split])
+        first = np.searchsorted(starts, offsets)
+        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        held = raw[~blank]
+        places = np.r_[np.r_[0, np.cumsum(~blank)][starts], len(held)].astype(np.int64)
+        if self.lowers:
+            # A lowered word has the tokens of the word, unless it holds a special token's string.
+            low = lowered(held)
+            for w in np.unique(np.searchsorted(places, np.flatnonzero(held == ord("<")), side="right") - 1):
+                low[places[w] : places[w + 1]] = held[places[w] : places[w + 1]]
+            held = low
+        found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(held)).dictionary_encode()
+        sums = np.r_[0, np.cumsum(self.codes(found.dictionary.to_pylist())[found.indices.to_numpy()])]
+        return sums[first[1:]] - sums[first[:-1]]
+
+    def count(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and chunks of each text of a column."""
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        limit = self.chunk + self.overlap
+        huge = np.asarray(pa.compute.greater(pa.compute.utf8_length(column), limit))
+        tokens, chunks = np.zeros(len(column), np.int64), np.ones(len(column), np.int64)
+        tokens[~huge] = self.summed(column.filter(pa.array(~huge)))
+        for i in np.flatnonzero(huge):
+            tokens[i], chunks[i] = count_huge(column[i].as_py(), self.offsets, self.chunk, self.overlap)
+        return tokens, chunks
 
 
 def token_counts(
@@ -127,8 +175,8 @@ def token_counts(
 ) -> DataFrame:
     """Bytes and tokens of every text, one row for each row of ``df``.
 
-    ``tokenizer`` names a vocabulary file of the library ``tokenizers`` whose pattern drops white space; it is looked up by
-    name on each executor. ``chunk`` and ``overlap`` count characters, ``remembered`` words of a worker's table.
+    ``tokenizer`` names a vocabulary file of the library ``tokenizers`` whose pattern drops white space and keeps letters and
+    closing signs apart; it is looked up by name on each executor. ``chunk`` and ``overlap`` count characters, ``remembered`` words of a worker's table.
     Null and empty texts have no byte and no token; a null ``doc_id`` stays null; repeated rows are counted each by itself;
     an empty table gives an empty result; further columns are ignored.
     """
@@ -140,15 +188,15 @@ def token_counts(
 
         counter = Counter(public_tokenizers.path(tokenizer), chunk, overlap, remembered)
         for batch in batches:
-            for piece in pieces(batch):
-                texts = piece.column("text").to_pylist()
-                counts = counter.count(texts)
+            for piece in pieces(batch, size=PIECE):
+                text = piece.column("text")
+                tokens, chunks = counter.count(text)
                 yield record(
                     SCHEMA,
                     doc_id=piece.column("doc_id"),
-                    n_bytes=pa.array([len(t.encode()) for t in texts], pa.int64()),
-                    n_tokens=pa.array([n for n, _ in counts], pa.int64()),
-                    n_chunks=pa.array([c for _, c in counts], pa.int32()),
+                    n_bytes=pa.array(np.diff(buffer(text)[1]), pa.int64()),
+                    n_tokens=pa.array(tokens, pa.int64()),
+                    n_chunks=pa.array(chunks, pa.int32()),
                 )
 
     return documents(df).mapInArrow(counted, SCHEMA)

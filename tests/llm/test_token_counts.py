@@ -41,3 +41,14 @@ def test_splice_needs_a_blank():
 
 def test_empty(spark):
     assert token_counts(empty(spark)).count() == 0
+
+
+def test_words_are_cut_and_lowered_without_another_count():
+    counter = Counter(PATH, 1 << 16, 1 << 10, 50)
+    rng = random.Random(9)
+    signs = ["a", "B", "Hello", "WORLD", "İ", "Σ", "ß", "é", "é", ".́", ".", ",", ";:", "!?)", "'s", "'S", "'RE", "1", "42", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "<", "漢", "😀", " ", " ", "\n", " ", " ", "\x00", "-", "(", "\"", "ﬁ", "ͅ"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(6000)] + ["", " ", "."]
+    import pyarrow as pa
+
+    tokens, chunks = counter.count(pa.array(texts))
+    assert tokens.tolist() == whole(texts) and set(chunks.tolist()) == {1}
