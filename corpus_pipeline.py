@@ -18,6 +18,7 @@ from fileguard.llm.near_duplicates import near_duplicates
 from fileguard.llm.packing import pack
 from fileguard.llm.quality_rules import passed
 
+TOKENIZER = "word_bpe_49k.json"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -44,8 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of each document that is left."""
-    return pack(docs)
+    """Bucket, batch and slot of each document that is left, by tokens of ``TOKENIZER``."""
+    return pack(docs, tokenizer=TOKENIZER)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
