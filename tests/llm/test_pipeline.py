@@ -2,6 +2,9 @@ import os
 import subprocess
 import sys
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from fileguard.llm.decontamination import normalised
 from fileguard.llm.packing import boundaries
@@ -47,7 +50,8 @@ def test_run_against_brute_force(spark):
 
     items = [(d, t) for d, t in items if not any(holds(normalised(t), b) for b in bench)]
     found = corpus_pipeline.run(spark, SF).collect()
-    assert sorted((r["doc_id"], r["n_tokens"]) for r in found) == sorted((d, len(t.split())) for d, t in items)
+    codes = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode_batch([t for _, t in items], add_special_tokens=False)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in found) == sorted((d, len(c)) for (d, _), c in zip(items, codes, strict=True))
     lengths = sorted({r["n_tokens"] for r in found})
     counts = [sum(r["n_tokens"] == n for r in found) for n in lengths]
     assert sum(r["boundary"] - r["n_tokens"] for r in found) == padding(boundaries(lengths, counts, 16), lengths, counts)
