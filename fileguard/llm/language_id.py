@@ -9,7 +9,6 @@ rejects texts that fit no model; both are fitted on texts that the models have n
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,11 @@ UNKNOWN = "und"
 
 COUNTS = "lang string, gram long, n long"
 LABELS = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Is any character a letter of Unicode? Signs that only count or number, such as superscripts and Roman numerals, are not."""
+    return any(map(str.isalpha, text))
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +169,12 @@ def cross_entropies(models: Models, texts: list[str]) -> np.ndarray:
     return out
 
 
-def calibrated(models: Models, texts: list[str], langs: list[str]) -> Models:
-    """Slope of the confidence with the highest likelihood on a grid, and the bound of the cross-entropy."""
-    if texts:
-        values = cross_entropies(models, texts)
+def calibrated(models: Models, values: np.ndarray, langs: list[str]) -> Models:
+    """Slope of the confidence with the highest likelihood on a grid, and the bound of the cross-entropy, from the
+    cross-entropies (texts x languages) of texts of known language."""
+    if langs:
         right = np.array([models.langs.index(x) for x in langs])
-        gaps = values - values[np.arange(len(texts)), right][:, None]
+        gaps = values - values[np.arange(len(langs)), right][:, None]
         grid = 2.0 ** np.arange(-2, 10)
         # Soft labels, since even a text of one language holds some words of another; they keep the slope finite.
         wrong = gaps.sum(axis=1) * SOFT / max(1, gaps.shape[1] - 1)
@@ -188,13 +191,19 @@ def training_rows(df: DataFrame) -> DataFrame:
 
 
 def fit(df: DataFrame, fit_chars: int = FIT_CHARS) -> Models:
-    """Models of the languages in ``df`` (doc_id, text, lang), fitted on about ``fit_chars`` characters of each."""
-    sizes = df.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).where("n > 0")
-    share = F.lit(float(fit_chars)) / F.col("n")
+    """Models of the languages in ``df`` (doc_id, text, lang), fitted on about ``fit_chars`` characters of each.
+
+    Of each language the document with the smallest hash is fitted on whatever its length, so no language is lost; of the
+    others drawn, one in ``CALIBRATION`` calibrates. Calibration texts are judged where they are; only numbers are collected.
+    """
     place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    drawn = df.join(F.broadcast(sizes), "lang").where(place < share).withColumn(
-        "calibrates", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATION)) == 0
-    )
+    placed = df.where("text != ''").withColumn("place", place)
+    first = F.min(F.struct("place", "doc_id", F.xxhash64("text").alias("mark")))
+    sizes = placed.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), first.alias("first"))
+    leads = F.struct("place", "doc_id", F.xxhash64("text").alias("mark")) == F.col("first")
+    held = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATION)) == 0
+    drawn = placed.join(F.broadcast(sizes), "lang").withColumn("leads", leads)
+    drawn = drawn.where(F.col("leads") | (F.col("place") < F.lit(float(fit_chars)) / F.col("n"))).withColumn("calibrates", held & ~F.col("leads"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +225,18 @@ def fit(df: DataFrame, fit_chars: int = FIT_CHARS) -> Models:
         order = np.argsort(gram)
         counts.append((gram[order], n[order]))
     models = kneser_ney(langs, counts) if langs else Models([], [], [], [], [], np.zeros(0))
-    tests = [r for r in drawn.where("calibrates").select("lang", "text").collect() if r["lang"] in langs and r["text"]]
-    return calibrated(models, [r["text"] for r in tests], [r["lang"] for r in tests])
+    if not langs:
+        return models
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                values = cross_entropies(models, piece.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([piece.column("lang"), pa.array(values.tolist(), pa.list_(pa.float64()))], names=["lang", "loss"])
+
+    tests = drawn.where("calibrates").select("lang", "text").mapInArrow(judged, "lang string, loss array<double>").collect()
+    tests.sort(key=lambda r: (r["lang"], r["loss"]))
+    return calibrated(models, np.array([r["loss"] for r in tests]), [r["lang"] for r in tests])
 
 
 def identify(df: DataFrame, models: Models) -> DataFrame:
@@ -234,7 +253,7 @@ def identify(df: DataFrame, models: Models) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch):
                 texts = piece.column("text").to_pylist()
-                known = np.array([bool(model.langs) and LETTER.search(t) is not None for t in texts], bool)
+                known = np.array([bool(model.langs) and has_letter(t) for t in texts], bool)
                 values = cross_entropies(model, texts) if model.langs else np.zeros((len(texts), 1))
                 values = np.where(known[:, None], values, 0.0)
                 best = values.argmin(axis=1)

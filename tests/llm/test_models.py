@@ -139,3 +139,22 @@ def test_language_corners(spark):
     assert {r["lang_pred"] for r in li.identify(awkward(spark), nothing).collect()} == {"und"}
     nulls = spark.createDataFrame([(1, None, "en"), (2, "text", None), (None, "text", "en")], "doc_id long, text string, lang string")
     assert li.training_rows(nulls).count() == 0
+
+
+def test_signs_that_are_no_letters(spark):
+    """Superscripts, fractions, circled and Roman numerals are no letters."""
+    items = [(2, "the cat sat on the mat and the dog ran", "en"), (3, "der Hund lief und die Katze schlief", "de")]
+    models = li.fit(spark.createDataFrame(items, "doc_id long, text string, lang string"))
+    texts = ["² ½ ①", "Ⅷ", "123 _ ...", "", None, "ª", "é", "漢", "1 b"]
+    got = li.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), models).collect()
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got}
+    assert [found[i] for i in range(5)] == [("und", 0.0)] * 5
+    assert all(found[i][0] in ("en", "de") for i in range(5, 9))
+
+
+def test_no_language_is_lost(spark):
+    """One document of a language is fitted on, even if it is long or the draw would have it calibrate."""
+    for doc_id in range(12):
+        items = [(doc_id, "el perro corre y la gata duerme " * 50, "es")] + [(100 + i, f"the cat sat on mat number {i} and ran", "en") for i in range(40)]
+        models = li.fit(spark.createDataFrame(items, "doc_id long, text string, lang string"), fit_chars=200)
+        assert models.langs == ["en", "es"]
