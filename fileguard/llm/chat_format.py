@@ -3,9 +3,11 @@
 Template of a turn: ``<role>``, a line feed, the text, ``<end>``, a line feed. Inside roles and texts ``\\``, ``<`` and ``>``
 are written ``\\b``, ``\\l`` and ``\\g``, so the marks cannot occur in them and the original can be read back.
 
-Prefix sums of the turns' tokens cut a conversation into spans: turns that begin in the same half budget form a span, so a
-span of turns of at most half a budget each stays inside the budget. A window is the system turn, the last ``history`` turns before the span, and the span. What is
-repeated carries no loss; each assistant text is a target in one window only.
+Prefix sums of the turns' tokens cut a conversation into spans. A span has room for the budget without the system turn and
+without a quarter that is set aside for history. On the axis of the sums, cells of that room are laid out; the turns that end
+in one cell form a span if they fit, else the first of them (it begins in an earlier cell) is a span and the rest another. A
+window is the system turn, up to ``history`` turns before the span, and the span; the newest history comes first and ends where
+the budget would be passed. What is repeated carries no loss; each assistant text is a target in one window only.
 """
 
 from __future__ import annotations
@@ -33,51 +35,74 @@ def unescaped(text: Column) -> Column:
 
 
 def turn_tokens(text: Column) -> Column:
-    """Words and other signs, and three tokens for the marks of the turn."""
+    """The unit of the budget: runs of letters and digits, each other sign but blanks, and three for the marks of the turn. It
+    is a count by pattern that native functions can make, not that of a vocabulary."""
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{N}]")).cast("long") + 3
 
 
 def chat_windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Windows of all conversations: conv_id, span, text, n_turns, n_repeated (leading turns without loss), n_tokens,
-    over_budget and loss (array of start, end in code points of ``text``).
+    """Windows of all conversations: conv_id, span (rising, with gaps), text, n_turns, n_repeated (leading turns without loss),
+    n_tokens, over_budget and loss (array of start, end in code points of ``text``).
 
     Turns are ordered by turn, role and text, nulls first. Null roles and texts are empty. Rows with a null conv_id form one
     conversation. Repeated rows are turns of their own. Only the first turn of role ``system`` is retained in later windows.
-    Turns are never cut, so one beyond half the budget can make a window that is marked over_budget. An empty table gives
-    an empty result; further columns are ignored.
+    Tokens are counted by ``turn_tokens``. Turns are never cut: a window is over_budget only if its span is one turn that does
+    not fit beside the system turn, and has no history then. An empty table gives an empty result; further columns are ignored.
     """
     role, said = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role.alias("role"), said.alias("said"))
     head = F.concat(F.lit("<"), escaped(F.col("role")), F.lit(">\n"))
+    rows = rows.withColumns({"tokens": turn_tokens(F.col("said")), "head": head})
+    talk = Window.partitionBy("conv_id").orderBy("turn", "role", "said")
+    before, all_ = talk.rowsBetween(Window.unboundedPreceding, -1), talk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("place", F.row_number().over(talk))
+    rows = rows.withColumn("system_place", F.first(F.when(F.col("role") == "system", F.col("place")), ignorenulls=True).over(all_))
     part = F.struct(
-        F.concat(head, escaped(F.col("said")), F.lit(END)).alias("block"),
-        F.length(head).alias("head"),
+        "place",
+        F.concat("head", escaped(F.col("said")), F.lit(END)).alias("block"),
+        F.length("head").alias("head"),
         (F.col("role") == "assistant").alias("target"),
-        F.col("tokens"),
+        "tokens",
     )
-    rows = rows.withColumn("tokens", turn_tokens(F.col("said"))).withColumn("part", part)
-    talk = Window.partitionBy("conv_id").orderBy("turn", "role", "said")
-    before = talk.rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.select(
-        "conv_id", "part",
-        F.row_number().over(talk).alias("place"),
-        (F.coalesce(F.sum("tokens").over(before), F.lit(0)) / F.lit(max(1, budget // 2))).cast("long").alias("span"),
-        F.first(F.when(F.col("role") == "system", F.col("part")), ignorenulls=True).over(before).alias("system"),
-        F.sum(F.when(F.col("role") == "system", 1)).over(before).alias("systems"),
-        *(F.lag("part", k).over(talk).alias(f"past{k}") for k in range(1, history + 1)),
-        *(F.lag("role", k).over(talk).alias(f"role{k}") for k in range(1, history + 1)),
+    rows = rows.withColumn("part", part)
+    system = F.when(F.col("place") == F.col("system_place"), F.col("part"))
+    past = [F.lag(F.when(system.isNull(), F.col("part")), k).over(talk) for k in range(1, max(1, history) + 1)]
+    rows = rows.select(
+        "conv_id", "place", "tokens", "part", "system_place",
+        F.first(system, ignorenulls=True).over(all_).alias("system"),
+        F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("begin"),
+        F.slice(F.array(*past), 1, history).alias("past"),
     )
-    # The system turn is not repeated twice: once it is the only one so far and lies inside the history, it is left there.
-    near = F.lit(False)
-    for k in range(1, history + 1):
-        near = near | (F.coalesce(F.col(f"role{k}") == "system", F.lit(False)) & (F.col("systems") == 1))
-    ahead = F.array_compact(F.array(F.when(~near, F.col("system")), *(F.col(f"past{k}") for k in range(history, 0, -1))))
-    spans = placed.groupBy("conv_id", "span").agg(
-        F.min_by(ahead, "place").alias("ahead"),
-        F.array_sort(F.collect_list(F.struct("place", "part"))).alias("own"),
-    )
-    parts = F.concat("ahead", F.transform("own", lambda x: x["part"]))
-    spans = spans.select("conv_id", "span", parts.alias("parts"), F.size("ahead").alias("n_repeated"))
+    room = F.greatest(F.lit(1), budget - budget // 4 - F.coalesce("system.tokens", F.lit(0)))
+    cell = F.floor((F.col("begin") + F.col("tokens") - 1) / room).cast("long")
+    cells = rows.withColumns({"room": room, "cell": cell}).groupBy("conv_id", "cell").agg(
+        F.array_sort(F.collect_list("part")).alias("own"),
+        F.min_by("past", "place").alias("past"),
+        F.first("system").alias("system"), F.first("room").alias("room"), F.first("system_place").alias("system_place"),
+    )
+    total = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p["tokens"])
+    lead, rest = F.slice("own", 1, 1), F.slice("own", 2, F.size("own"))
+    # What precedes the rest: its first turn and what precedes that. The system turn's place in the history stays empty.
+    passed = F.transform(lead, lambda p: F.when(~F.coalesce(p["place"] == F.col("system_place"), F.lit(False)), p))
+    nearest = F.slice(F.concat(passed, "past"), 1, history)
+    span = lambda half, own, past: F.struct((2 * F.col("cell") + half).alias("span"), own.alias("own"), past.alias("past"))
+    halves = F.when(
+        (total("own") > F.col("room")) & (F.size("own") > 1),
+        F.array(span(0, lead, F.col("past")), span(1, rest, nearest)),
+    ).otherwise(F.array(span(0, F.col("own"), F.col("past"))))
+    spans = cells.select("conv_id", "system", F.explode(halves).alias("x")).select("conv_id", "system", "x.span", "x.own", F.array_compact("x.past").alias("past"))
+    kept = F.filter(F.array_compact(F.array("system")), lambda p: p["place"] < F.col("own")[0]["place"])
+    spans = spans.withColumn("kept", kept)
+    left = budget - total("own") - total("kept")
+    none = F.struct(left.alias("left"), F.lit(0).alias("n"))
+    fitting = F.aggregate(
+        "past", none, lambda s, p: F.when(
+            p["tokens"] <= s["left"], F.struct((s["left"] - p["tokens"]).alias("left"), (s["n"] + 1).alias("n"))
+        ).otherwise(F.struct(F.lit(-1).cast("long").alias("left"), s["n"].alias("n"))), lambda s: s["n"],
+    )
+    ahead = F.array_sort(F.concat("kept", F.slice("past", F.lit(1), fitting)))
+    spans = spans.select("conv_id", "span", "own", ahead.alias("ahead"))
+    spans = spans.select("conv_id", "span", F.concat("ahead", "own").alias("parts"), F.size("ahead").alias("n_repeated"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
 
     def walk(state: Column, x: Column) -> Column:
@@ -89,12 +114,11 @@ def chat_windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) ->
         return F.struct((state["at"] + size).alias("at"), loss.alias("loss"))
 
     numbered = F.transform("parts", lambda p, i: F.struct(p.alias("part"), (i >= F.col("n_repeated")).alias("new")))
-    tokens = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["tokens"])
     return spans.select(
         "conv_id", "span",
         F.array_join(F.transform("parts", lambda p: p["block"]), "").alias("text"),
         F.size("parts").alias("n_turns"), "n_repeated",
-        tokens.alias("n_tokens"), (tokens > budget).alias("over_budget"),
+        total("parts").alias("n_tokens"), (total("parts") > budget).alias("over_budget"),
         F.aggregate(numbered, start, walk, lambda s: s["loss"]).alias("loss"),
     )
 

@@ -55,20 +55,36 @@ b AS (
          len(regexp_extract_all(said, '[\p{L}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{N}]')) + 3 AS tokens
   FROM r
 ),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said) AS place FROM b),
+y AS (SELECT conv_id, min(place) AS sys_place FROM o WHERE role = 'system' GROUP BY conv_id),
 p AS (
-  SELECT *, row_number() OVER t AS place, coalesce(sum(tokens) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 512 AS span,
-         first(CASE WHEN role = 'system' THEN size END IGNORE NULLS) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sys,
-         count(CASE WHEN role = 'system' THEN 1 END) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_sys,
-         lag(size, 1) OVER t AS s1, lag(size, 2) OVER t AS s2,
-         coalesce(lag(role, 1) OVER t = 'system', false) OR coalesce(lag(role, 2) OVER t = 'system', false) AS near
-  FROM b WINDOW t AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said)
+  SELECT o.*, y.sys_place, z.tokens AS sys_tokens, z.size AS sys_size,
+         greatest(1, 1024 - 256 - coalesce(z.tokens, 0)) AS room,
+         sum(o.tokens) OVER (PARTITION BY o.conv_id ORDER BY o.place) AS until
+  FROM o LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN o z ON z.conv_id IS NOT DISTINCT FROM o.conv_id AND z.place = y.sys_place
+),
+c AS (
+  SELECT *, (until - 1) // room AS cell, sum(tokens) OVER w AS held, count(*) OVER w AS members, min(place) OVER w AS lead
+  FROM p WINDOW w AS (PARTITION BY conv_id, (until - 1) // room)
 ),
 s AS (
-  SELECT conv_id, span, sum(size) + min_by(
-           CASE WHEN near AND n_sys = 1 THEN 0 ELSE coalesce(sys, 0) END + coalesce(s1, 0) + coalesce(s2, 0), place) AS chars
-  FROM p GROUP BY conv_id, span
+  SELECT conv_id, cell, members > 1 AND held > room AND place > lead AS half, min(place) AS begins, sum(tokens) AS own, sum(size) AS chars,
+         max(CASE WHEN sys_place < lead OR (sys_place = lead AND members > 1 AND held > room AND place > lead) THEN sys_tokens END) AS st,
+         max(CASE WHEN sys_place < lead OR (sys_place = lead AND members > 1 AND held > room AND place > lead) THEN sys_size END) AS ss
+  FROM c GROUP BY conv_id, cell, half
+),
+h AS (
+  SELECT s.*, coalesce(a.tokens, 0) AS t1, coalesce(a.size, 0) AS s1, coalesce(e.tokens, 0) AS t2, coalesce(e.size, 0) AS s2,
+         1024 - own - coalesce(st, 0) AS spare
+  FROM s
+  LEFT JOIN p a ON a.conv_id IS NOT DISTINCT FROM s.conv_id AND a.place = begins - 1 AND a.place IS DISTINCT FROM a.sys_place
+  LEFT JOIN p e ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.place = begins - 2 AND e.place IS DISTINCT FROM e.sys_place
 ),
-f AS (SELECT conv_id, sum(chars) AS chars FROM s GROUP BY conv_id)
+f AS (
+  SELECT conv_id, sum(chars + coalesce(ss, 0) + CASE WHEN t1 > spare THEN 0 WHEN t1 + t2 > spare THEN s1 ELSE s1 + s2 END) AS chars
+  FROM h GROUP BY conv_id
+)
 SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY place)) AS turns_sha256,
        coalesce(sum(CASE WHEN role = 'assistant' THEN length(said) END), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN said END, '' ORDER BY place), '')) AS loss_sha256,

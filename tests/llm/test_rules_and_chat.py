@@ -81,17 +81,64 @@ def test_round_trip(spark):
         assert "".join(loss) == "".join(t for role, t in expected[c] if role == "assistant")
 
 
+def windows_by_hand(turns, budget, history):
+    """(first place, turns ahead by place, span by place) of one conversation, turns as (role, tokens)."""
+    system = next((i for i, (role, _) in enumerate(turns) if role == "system"), None)
+    spent = turns[system][1] if system is not None else 0
+    room = max(1, budget - budget // 4 - spent)
+    cells, until = {}, 0
+    for i, (_, n) in enumerate(turns):
+        until += n
+        cells.setdefault((until - 1) // room, []).append(i)
+    spans = []
+    for _, own in sorted(cells.items()):
+        whole = len(own) == 1 or sum(turns[i][1] for i in own) <= room
+        spans += [own] if whole else [own[:1], own[1:]]
+    out = []
+    for own in spans:
+        ahead = [system] if system is not None and system < own[0] else []
+        left = budget - sum(turns[i][1] for i in ahead + own)
+        for i in range(own[0] - 1, max(-1, own[0] - 1 - history), -1):
+            if i == system:
+                continue
+            if turns[i][1] > left:
+                break
+            left -= turns[i][1]
+            ahead.append(i)
+        out.append((sorted(ahead), own))
+    return out
+
+
 def test_windows_keep_budget_and_history(spark):
-    windows = chat_windows(talk(spark), budget=200, history=2)
-    for r in windows.where("conv_id = 9").collect():
-        assert r["n_tokens"] <= 200 + 2 * 63 and r["n_repeated"] == (0 if r["span"] == 0 else 2)
-        assert all(0 <= s["start"] <= s["end"] <= len(r["text"]) for s in r["loss"])
-    later = windows.where("conv_id < 6 and span > 0").collect()
-    assert all(r["text"].startswith("<system>\n") for r in later)
-    assert windows.where("over_budget and conv_id = 8").count() >= 1
+    import random
+
+    rng = random.Random(3)
+    talks = {c: [(rng.choice(["user", "assistant", "system"] if rng.random() < 0.3 else ["user", "assistant"]), rng.choice([1, 3, 9, 40, 80, 150, 260])) for _ in range(rng.randrange(1, 50))] for c in range(40)}
+    rows = [(c, t, role, " ".join(["w"] * n)) for c, turns in talks.items() for t, (role, n) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for budget, history in ((200, 2), (200, 0), (120, 3)):
+        got = {}
+        for r in chat_windows(df, budget=budget, history=history).orderBy("conv_id", "span").collect():
+            got.setdefault(r["conv_id"], []).append(r)
+            # Beyond the budget goes only a single turn that does not fit beside the system turn, and it has no history.
+            assert r["over_budget"] == (r["n_tokens"] > budget)
+            assert not r["over_budget"] or (r["n_turns"] - r["n_repeated"] == 1 and r["n_repeated"] <= 1)
+            assert all(0 <= s["start"] <= s["end"] <= len(r["text"]) for s in r["loss"])
+        for c, turns in talks.items():
+            sized = [(role, n + 3) for role, n in turns]
+            want = windows_by_hand(sized, budget, history)
+            assert [(r["n_repeated"], r["n_turns"], r["n_tokens"]) for r in got[c]] == [(len(a), len(a) + len(o), sum(sized[i][1] for i in a + o)) for a, o in want]
+            blocks = [f"<{role}>\n{' '.join(['w'] * n)}<end>\n" for role, n in turns]
+            assert [r["text"] for r in got[c]] == ["".join(blocks[i] for i in a + o) for a, o in want]
     assert chat_windows(talk(spark).where("false")).count() == 0
 
 
+def test_long_even_conversation_stays_inside_the_budget(spark):
+    rows = [(1, t, ["user", "assistant"][t % 2], " ".join(["w"] * 480)) for t in range(40)]
+    windows = chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert max(r["n_tokens"] for r in windows) <= 1024 and sum(r["n_turns"] - r["n_repeated"] for r in windows) == 40
+
+
 def test_digest_of_the_hostile_conversation(spark):
     from fileguard.llm.queries import op9_chat_format
 
