@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fileguard.operators import decisions, detectors, features
 from fileguard.plans import adapters, detection, registry
-from fileguard.plans.oracles import PARAMS
+from fileguard.plans.settings import PARAMS
 from fileguard.session import local_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

@@ -24,3 +24,9 @@ def slot(ts_us: Column, width_us: int) -> Column:
 
 def minute_of(seconds: Column) -> Column:
     return F.floor(seconds / F.lit(60.0)).cast("bigint")
+
+
+def behind_watermark(condition: Column) -> Column:
+    """``condition`` as a filter that stays behind ``withWatermark``: the optimizer moves only deterministic ones in front of it, and
+    rows that are filtered there do not move the watermark."""
+    return F.when(F.spark_partition_id() >= 0, condition)

@@ -70,12 +70,18 @@ def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     p = previous.select(*keys, F.struct(*cols).alias("p"))
     c = current.select(*keys, F.struct(*cols).alias("c"))
     both = p.join(c, keys, "full_outer")
+    return typed_changes(both, keys)
+
+
+def typed_changes(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the event columns of files before (``p``) and after (``c``), either of them NULL; unchanged files omitted."""
+    cols = [*_ATTRIBUTES, "full_path"]
     kind = (
         F.when(F.col("p").isNull(), F.lit("CREATED"))
         .when(F.col("c").isNull(), F.lit("DELETED"))
         .otherwise(_change({x: F.col(f"p.{x}") for x in cols}, {x: F.col(f"c.{x}") for x in cols}))
     )
-    return both.withColumn("event_type", kind).where("event_type is not null").select(*keys, *_event_columns())
+    return pairs.withColumn("event_type", kind).where("event_type is not null").select(*keys, *_event_columns())
 
 
 def _event_columns() -> list[Column]:

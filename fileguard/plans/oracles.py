@@ -8,15 +8,9 @@ from __future__ import annotations
 
 from math import log
 
-from fileguard.params import EngineParams, HmmParams
+from fileguard.plans.settings import DELAY_SECONDS, HMM, PARAMS, PARTS, SINCE_ID, SNAPSHOT_DAY
 from fileguard.schemas import FEATURES
 
-# Model used by the registered queries: the means lie within the entropies of the derived file names.
-HMM = HmmParams(pi=(0.6, 0.4), a=((0.95, 0.05), (0.1, 0.9)), mu=(3.55, 3.9), var=(0.04, 0.04))
-PARAMS = EngineParams(hmm=HMM)
-SINCE_ID = 2_500
-SNAPSHOT_DAY = 86_400
-
 EVENTS = """
 b as (select event_id as id, user_id, event_type as et, cast(epoch_us(ts) as double)/1000000.0 as t,
              user_id%2 as drive_id, user_id*5+event_id%5 as stable_id from events),
@@ -504,4 +498,18 @@ def build() -> dict[str, str]:
     q["restore_points_chunked"] = q["restore_points"]
     q["batch_threat_chunked"] = _with(*_BATCHED) + """ select drive_id, batch, round(threat,6) as threat, cast(events as bigint) as events
         from bt"""
+    q["stream_flags"] = _with(EVENTS, MEASURES) + """ select drive_id, id, ts_us, cast(recent_writes as bigint) as recent_writes,
+        cast(recent_renames as bigint) as recent_renames, rename_extensions, recent_files, high_velocity, systematic_rename from fl"""
+    q["stream_attacks"] = q["attack_sessions"]
+    q["stream_snapshot_events"] = q["snapshot_chain_emptied"]
+    q["late_events"] = _with(EVENTS) + f""", sp as (select min(ts_us) as lo, max(ts_us) as hi from fe),
+      p0 as (select id, drive_id, ts_us, id%1000=7 as lacks, least({PARTS - 1}, (ts_us-lo)*{PARTS}//(hi-lo+1)) as part from fe, sp),
+      p1 as (select id, drive_id, ts_us, lacks, case when id%97=0 then least(part+2, {PARTS - 1}) else part end as batch_id from p0),
+      nw as (select b as batch_id, (select max(ts_us) from p1 where not lacks and p1.batch_id < b) as newest from range({PARTS}) as x(b)),
+      gt as (select p1.*, case when lacks then 'rejected' when ts_us <= (newest-{DELAY_SECONDS}*1000000)//1000*1000 then 'late'
+             else 'on_time' end as gate from p1 join nw using (batch_id))
+      select id, drive_id, ts_us, cast(batch_id as bigint) as batch_id, (select count(*) from gt where gate='on_time') as on_time,
+        (select count(*) from gt where gate='late') as late, (select count(*) from gt where gate='rejected') as rejected from gt where gate='late'"""
+    q["alert_log_replayed"] = _with(*_ALERTED, recursive=True) + f""" select drive_id, cast(batch%4 as bigint) as batch_id, "timestamp",
+        threat_level, probability, affected_files_count, sync_paused, trigger_id from (select {ALERT_COLUMNS}, trigger_id from al)"""
     return q

@@ -23,7 +23,7 @@ from fileguard.operators import (
 )
 from fileguard.plans import adapters, detection
 from fileguard.params import ScanParams
-from fileguard.plans.oracles import PARAMS, SINCE_ID
+from fileguard.plans.settings import PARAMS, SINCE_ID
 from fileguard.schemas import FEATURES
 from fileguard.session import cut_lineage, working_folder
 from fileguard.sources import events as event_source

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +63,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = working_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system that ``path`` lies in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder: afterwards it is there whole, before not at all."""
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"could not move {source} to {target}")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside use the state store that keeps several states of an operator."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

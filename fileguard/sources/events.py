@@ -28,7 +28,7 @@ def append_events(events: DataFrame, path: str) -> None:
     events.withColumn("event_day", _day(F.col("timestamp"))).write.mode("append").partitionBy("event_day").parquet(path)
 
 
-def _missing() -> Column:
+def missing_column() -> Column:
     """The first of the columns that place an event which is NULL, or NULL if it has them all."""
     placed = ("id", "timestamp", "drive_id")
     return F.coalesce(*[F.when(F.col(c).isNull(), c) for c in placed])
@@ -36,12 +36,12 @@ def _missing() -> Column:
 
 def accepted_events(events: DataFrame) -> DataFrame:
     """Events with an id, a time and a drive; the ordered scans need all three."""
-    return events.where(_missing().isNull())
+    return events.where(missing_column().isNull())
 
 
 def rejected_events(events: DataFrame) -> DataFrame:
     """How many events ``accepted_events`` leaves out, by drive and the first column that is missing."""
-    return events.groupBy("drive_id", _missing().alias("missing")).agg(F.count("*").alias("n")).where("missing is not null")
+    return events.groupBy("drive_id", missing_column().alias("missing")).agg(F.count("*").alias("n")).where("missing is not null")
 
 
 def events_since(events: DataFrame, last_id: int) -> DataFrame:

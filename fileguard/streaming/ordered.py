@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from fileguard.functions.time import with_event_time
+from fileguard.functions.time import behind_watermark, with_event_time
 from fileguard.params import MICROS
 from fileguard.schemas import FILE_EVENTS
+from fileguard.sources.events import missing_column
 
 KEYS = ["drive_id", "stable_id"]
 _REST = [f for f in FILE_EVENTS.fields if f.name not in KEYS] + [T.StructField("ts_us", T.LongType())]
@@ -39,8 +40,7 @@ class FileHistory(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            for row in pdf[[f.name for f in _HELD]].itertuples(index=False, name=None):
-                self.held.appendValue(_plain(row))
+            self.held.appendList([_plain(row) for row in pdf[[f.name for f in _HELD]].itertuples(index=False, name=None)])
             for slot in (pdf["ts_us"] // self.poll_us).unique():
                 self.handle.registerTimer((int(slot) + 1) * self.poll_us // 1000)
         return iter(())
@@ -84,7 +84,7 @@ def ordered_events(
     ``title_ttl_ms`` forgets files that stay silent that long, which bounds the state.
     """
     timed = with_event_time(events).withColumn("event_time", F.timestamp_micros("ts_us"))
-    marked = timed.withWatermark("event_time", delay)
+    marked = timed.withWatermark("event_time", delay).where(behind_watermark(missing_column().isNull()))
     return marked.groupBy(*KEYS).transformWithStateInPandas(
         FileHistory(poll_seconds * MICROS, title_ttl_ms), ORDERED_EVENTS, "append", "EventTime"
     )
