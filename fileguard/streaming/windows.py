@@ -45,9 +45,11 @@ def mentions(events: DataFrame, params: EngineParams, shards: int) -> DataFrame:
     shard = lambda value: F.pmod(F.xxhash64(value), F.lit(shards)).cast("int")
     row = lambda kind, by, value: F.struct(F.lit(kind).alias("kind"), shard(by).alias("shard"), value.cast("string").alias("value"))
     nobody = F.lit(None)
+    # Like the batch operator: events without a file share one.
+    file = F.coalesce(F.col("stable_id").cast("string"), F.lit(""))
     told = F.array_compact(F.array(
         row(COUNTS, F.col("id"), nobody),
-        F.when(F.col("stable_id").isNotNull(), row(FILES, F.col("stable_id"), F.col("stable_id"))),
+        row(FILES, file, file),
         F.when(rename, row(EXTENSIONS, token, token)),
     ))
     return events.select(
