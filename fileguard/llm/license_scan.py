@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileguard.llm.common import documents
-from fileguard.llm.license_texts import TEXTS
+from fileguard.llm.license_texts import texts
 
 #: Notices known by default, by SPDX identifier; a caller can give a table (license_id, text) of any size instead.
 NOTICES = [
@@ -76,13 +76,17 @@ NOTICES += [
 ]
 NOTICES += [("Apache-2.0", _APACHE.format(s)) for s in ("", "s")]
 NOTICES += [("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");')]
-NOTICES += TEXTS
+NOTICES += texts()
 
 #: Spellings that mean the same, as words of the canonical form.
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("cc0", "cc zero"), ("v2", "version 2"), ("v3", "version 3"), ("noncommercial", "nc"), ("organisation", "organization")]
 
-#: A line that begins like this states a holder or a year; "copyright" alone can be a word of a wrapped notice.
-HOLDER = r"(?im)^[^\p{L}\n\x{A9}]*(copyright\b[^\n]*(\d{4}|\(c\)|\x{A9}|\bby\b)|\(c\)|\x{A9})[^\n]*$"
+#: Lines that state a holder: "copyright" with a sign, a year, its placeholder or "by" right after it; "(c)" with a year or
+#: "copyright" after it, since a clause may be marked (c); the sign itself.
+DATED = r"copyright[ \t:]*(\(c\)|\x{A9}|by\b|\d{4}|[\[{<]yyyy[\]}>]|[\[{<]year[\]}>])[^\n]*|\(c\)[ \t]*(copyright\b|\d{4}|[\[{<]yyyy[\]}>])[^\n]*|\x{A9}[^\n]*"
+#: "Copyright" and a name, nothing else: words that begin with a capital letter, joined by small words.
+NAMED = r"(?-i:Copyright)[ \t]+(?-i:(?!License|Notice|Holder|Owner|Act\b|Law)\p{Lu})[\p{L}\p{N}.'\-]*([ \t,]+((?-i:\p{Lu})[\p{L}\p{N}.'\-]*|&|and|of|the|et|al|und|y))*[ \t.,\r]*"
+HOLDER = rf"(?imd)^[^\p{{L}}\n\x{{A9}}(]*({DATED}|{NAMED})$"
 
 
 def canonical(text: Column, spelled: bool = True) -> Column:
@@ -100,6 +104,12 @@ def unit(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[ \n]+", " "))
 
 
+def whole_unit(form: Column) -> Column:
+    """A whole text as one line, without lines that only reserve all rights, unless there is nothing else."""
+    rest = unit(F.regexp_replace(form, r"(?md)^ *all rights reserved *$", ""))
+    return F.when(rest != "", rest).otherwise(unit(form))
+
+
 def digest(line: Column) -> Column:
     return F.sha2(line, 256)
 
@@ -107,7 +117,7 @@ def digest(line: Column) -> Column:
 def known_digests(known: DataFrame) -> DataFrame:
     """(digest, license_id) of a table (license_id, text): one row for each digest, the smallest id where texts coincide;
     notices without a word are left out."""
-    form = unit(canonical(F.coalesce("text", F.lit(""))))
+    form = whole_unit(canonical(F.coalesce("text", F.lit(""))))
     return known.where(form != "").groupBy(digest(form).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -120,13 +130,14 @@ def license_scan(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     known = known_digests(df.sparkSession.createDataFrame(NOTICES, "license_id string, text string") if known is None else known)
     docs = documents(df).select("doc_id", canonical(F.col("text")).alias("form"))
-    whole = docs.select("doc_id", unit(F.col("form")).alias("form")).select(
-        "doc_id", digest(F.col("form")).alias("digest"), F.lit(True).alias("is_text")
+    lines = F.filter(F.transform(F.split("form", "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    both = F.concat(
+        F.array(F.struct(digest(whole_unit(F.col("form"))).alias("digest"), F.lit(True).alias("is_text"))),
+        F.transform(lines, lambda line: F.struct(digest(line).alias("digest"), F.lit(False).alias("is_text"))),
     )
-    lines = docs.select("doc_id", F.explode(F.split("form", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
-    lines = lines.where("line != ''").select("doc_id", digest(F.col("line")).alias("digest"), F.lit(False).alias("is_text"))
+    asked = docs.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.digest", "x.is_text")
     # Whole texts stay without a match, lines don't; only these rows are shuffled.
-    found = whole.join(known, "digest", "left").unionByName(lines.join(known, "digest"))
+    found = asked.join(known, "digest", "left").where("is_text or license_id is not null")
     text = F.min(F.when(F.col("is_text"), F.struct("digest", "license_id")))
     return found.groupBy("doc_id").agg(
         text.alias("whole"), F.count_if(~F.col("is_text")).alias("n_license_lines"),

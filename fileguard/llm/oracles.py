@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fileguard.llm.license_scan import HOLDER, NOTICES, SPELLINGS
+from fileguard.llm.license_scan import NOTICES
 
 # 5-word windows as text; the words that any repeated window covers are counted.
 QUALITY = r"""
@@ -98,10 +98,23 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# The rules, written down once more: which lines state a holder, which spellings are one, and what short notices become.
+_SAME = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("cc0", "cc zero"),
+         ("v2", "version 2"), ("v3", "version 3"), ("noncommercial", "nc"), ("organisation", "organization")]
+_STATED = """(regexp_matches(l, '(?i)^[^\\p{L}\\x{A9}(]*(copyright[ \\t:]*(\\(c\\)|\\x{A9}|by\\b|[0-9]{4}|[\\[{<](yyyy|year)[\\]}>])|\\(c\\)[ \\t]*(copyright\\b|[0-9]{4}|[\\[{<]yyyy[\\]}>])|\\x{A9})')
+  OR (regexp_full_match(l, '[^\\p{L}\\x{A9}(]*Copyright[ \\t]+\\p{Lu}[\\p{L}\\p{N}.''\\-]*([ \\t,]+(\\p{Lu}[\\p{L}\\p{N}.''\\-]*|&|and|of|the|et|al|und|y))*[ \\t.,\\r]*')
+      AND NOT regexp_matches(l, '^[^\\p{L}]*Copyright[ \\t]+(License|Notice|Holder|Owner|Act\\b|Law)')))""".replace("\\\\", "\\")
+_SHORT = [
+    ("MIT", "released under the mit license"), ("MIT", "licensed under the mit license"), ("Apache-2.0", "licensed under the apache license version 2 0"),
+    ("GPL-3.0", "this work is licensed under the gnu general public license version 3"), ("CC-BY-NC-4.0", "licensed under cc by nc 4 0"),
+    ("CC0-1.0", "released under cc zero 1 0"), ("Proprietary", "all rights reserved"),
+]
+
+
 def _canonical(text: str) -> str:
-    text = f"regexp_replace({text}, {_quoted(HOLDER)}, '', 'g')"
+    text = f"array_to_string(list_transform(string_split({text}, chr(10)), lambda l: CASE WHEN {_STATED} THEN '' ELSE l END), chr(10))"
     text = f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
-    for other, word in SPELLINGS:
+    for other, word in _SAME:
         text = f"regexp_replace({text}, '\\b{other}\\b', '{word}', 'g')"
     return text
 
@@ -110,11 +123,21 @@ def _unit(text: str) -> str:
     return f"trim(regexp_replace({text}, '[ \\n]+', ' ', 'g'))"
 
 
+def _whole(form: str) -> str:
+    rest = f"array_to_string(list_filter(string_split({form}, chr(10)), lambda m: trim(m) <> 'all rights reserved'), chr(10))"
+    return f"CASE WHEN {_unit(rest)} <> '' THEN {_unit(rest)} ELSE {_unit(form)} END"
+
+
+# Short notices by the forms above, the others by the rule.
+_OTHERS = [(name, text) for name, text in NOTICES if not any(name == x and len(text) < 80 for x, _ in _SHORT)]
 LICENSES = f"""
-WITH n AS (SELECT unnest({[list(x) for x in NOTICES]!r}) AS x),
-k AS (SELECT sha256({_unit(_canonical("x[2]"))}) AS digest, min(x[1]) AS license_id FROM n GROUP BY 1),
+WITH n AS (SELECT unnest([{", ".join(f"[{_quoted(a)}, {_quoted(b)}]" for a, b in _OTHERS)}]) AS x),
+q AS (SELECT x[1] AS license_id, {_canonical("x[2]")} AS form FROM n),
+k AS (SELECT digest, min(license_id) AS license_id FROM (
+        SELECT sha256({_whole("form")}) AS digest, license_id FROM q
+        UNION ALL SELECT sha256(y[2]), y[1] FROM (SELECT unnest([{", ".join(f"[{_quoted(a)}, {_quoted(b)}]" for a, b in _SHORT)}]) AS y)) GROUP BY 1),
 c AS (SELECT doc_id, {_canonical("coalesce(text, '')")} AS form FROM documents),
-w AS (SELECT doc_id, sha256({_unit("form")}) AS digest FROM c),
+w AS (SELECT doc_id, sha256({_whole("form")}) AS digest FROM c),
 l AS (SELECT doc_id, sha256(trim(line)) AS digest FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM c)
       WHERE trim(line) <> ''),
 f AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM l JOIN k USING (digest) GROUP BY 1)

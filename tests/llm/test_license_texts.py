@@ -93,3 +93,35 @@ FILES = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LG
 def test_long_texts(spark):
     texts = [open(f"/usr/share/common-licenses/{name}", encoding="utf-8").read() for name in FILES]
     assert [r[1] for r in found(spark, *texts)] == list(FILES.values())
+
+
+def apache():
+    from pathlib import Path
+
+    import fileguard.llm
+
+    return (Path(fileguard.llm.__path__[0]) / "licenses" / "Apache-2.0.txt").read_text(encoding="utf-8")
+
+
+def test_layouts_of_one_licence(spark):
+    whole = apache()
+    body = next(t for i, t in NOTICES if i == "MIT" and len(t) > 500)
+    mit = lambda holder: f"MIT License\n\n{holder}\n\n{textwrap.fill(body, 60)}"
+    paragraphs = "\n\n".join(" ".join(p.split()) for p in whole.split("\n\n"))
+    filled = whole.replace("[yyyy]", "2024").replace("[name of copyright owner]", "Some People")
+    bare = whole[: whole.index("END OF TERMS AND CONDITIONS") + len("END OF TERMS AND CONDITIONS")]
+    texts = [
+        whole, paragraphs, filled, bare, paragraphs[: paragraphs.index("APPENDIX:")],
+        mit("Copyright Foo Authors"), mit("Copyright (c) 2019 Foo, Inc.\nAll rights reserved."), mit("© Foo"), mit("Copyright 2019 Foo. All Rights Reserved."),
+    ]
+    assert [r[1] for r in found(spark, *texts)] == ["Apache-2.0"] * 5 + ["MIT"] * 4
+
+
+def test_clauses_marked_c_are_part_of_the_text(spark):
+    texts = ["first line\n(c) you may sell it\nlast line", "first line\n(c) you may never sell it\nlast line", "first line\n(c) 2020 You\nlast line", "first line\nlast line"]
+    digests = [r[0] for r in sorted(license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("digest", "doc_id").collect(), key=lambda r: r["doc_id"])]
+    assert len(set(digests)) == 3 and digests[2] == digests[3]
+    # Wrapped notices keep their words.
+    for line in ("copyright notice and this permission notice", "COPYRIGHT HOLDERS AND CONTRIBUTORS", "Copyright License", "copyright law of the land"):
+        pair = spark.createDataFrame([(0, f"a\n{line}\nb"), (1, "a\nb")], "doc_id long, text string")
+        assert len({r["digest"] for r in license_scan(pair).collect()}) == 2
