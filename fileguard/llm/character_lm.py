@@ -21,30 +21,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fileguard.llm.common import buffer, documents, forget, pieces, record, stored
-from fileguard.llm.lm_scoring import SCORES
 
 ORDER = 5
-#: Bytes of text in a block; a longer document is a block by itself.
+#: Bytes of text in a block. A longer document is cut into slices of a block each, at most.
 BLOCK_BYTES = 8 << 20
 #: Stands before each text; no character has this number.
 BEFORE = 0x110000
 #: Bytes of a character inside an n-gram.
 WIDTH = 3
 
-BLOCKS = "block long, doc_id long, text string, marked boolean"
+SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
+SUMS = "row long, doc_id long, n_tokens long, target double, background double"
+BLOCKS = "block long, row long, doc_id long, lead string, text string, marked boolean"
 COUNTS = "gram binary, target long, background long"
 ASKED = "block long, gram binary"
 
 
-def characters(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of all texts with order - 1 times BEFORE ahead of each, the places of the real ones, and lengths of texts."""
+def characters(texts: list[str], leads: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts, the places of the texts' own ones, and lengths of texts. Ahead of each text stand the order - 1
+    characters of ``leads`` for a slice that goes on, or else so many BEFORE."""
     gap = "\0" * (order - 1)
-    points = np.frombuffer((gap + gap.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("".join(x for lead, t in zip(leads, texts, strict=True) for x in (lead or gap, t)).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
     kind = np.int32 if len(points) < 1 << 31 else np.int64
     ends = np.arange(sizes.sum(), dtype=kind) + np.repeat(np.arange(1, len(texts) + 1, dtype=kind) * kind(len(gap)), sizes)
     out = np.full(len(points), BEFORE, np.uint32)
     out[ends] = points[ends]
+    begins = np.r_[0, np.cumsum(sizes + len(gap))][:-1]
+    for i in np.flatnonzero([bool(x) for x in leads]):
+        out[begins[i] : begins[i] + len(gap)] = points[begins[i] : begins[i] + len(gap)]
     return out, ends, sizes
 
 
@@ -92,21 +97,35 @@ def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def dealt(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """``docs`` (doc_id, text, marked) with ``block``."""
+def dealt(docs: DataFrame, block_bytes: int, order: int) -> DataFrame:
+    """``docs`` (doc_id, text, marked) with ``row`` (one for each document), ``block`` and ``lead``. A document above a block is cut
+    into slices; each begins with the last order - 1 characters before it as its lead."""
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
+        row = TaskContext.get().partitionId() << 32
+        block, held = row, 0
+
+        def rows(of: pa.RecordBatch, ids: np.ndarray, lead: list[str], text: pa.Array) -> pa.RecordBatch:
+            return record(
+                BLOCKS, block=pa.array(np.full(of.num_rows, block)), row=pa.array(ids), doc_id=of.column("doc_id"),
+                lead=pa.array(lead, pa.string()), text=text, marked=of.column("marked"),
+            )
+
         for batch in batches:
             for piece in pieces(batch, size=min(block_bytes, 1 << 20)):
                 size = len(buffer(piece.column("text"))[0])
+                if size > block_bytes and piece.num_rows == 1:
+                    text, step = piece.column("text")[0].as_py(), max(order, block_bytes // 4)
+                    for at in range(0, len(text), step):
+                        block, held = block + 1, block_bytes
+                        yield rows(piece, np.array([row]), [text[at - order + 1 : at] if at else ""], pa.array([text[at : at + step]]))
+                    row += 1
+                    continue
                 if held and held + size > block_bytes:
                     block, held = block + 1, 0
                 held += size
-                yield record(
-                    BLOCKS, block=pa.array(np.full(piece.num_rows, block)), doc_id=piece.column("doc_id"),
-                    text=piece.column("text"), marked=piece.column("marked"),
-                )
+                yield rows(piece, np.arange(row, row + piece.num_rows), [""] * piece.num_rows, piece.column("text"))
+                row += piece.num_rows
 
     return docs.mapInArrow(numbers, BLOCKS)
 
@@ -119,7 +138,7 @@ def losses(counts: DataFrame, order: int) -> DataFrame:
     for n in range(order - 1, 0, -1):
         last = F.substring("gram", 1 + WIDTH, WIDTH * n)
         levels.insert(0, levels[0].groupBy(last.alias("gram")).agg(*(F.sum(m).alias(m) for m in models)))
-        levels[0] = stored(levels[0], f"lm-counts-{n}")
+        levels[0] = stored(levels[0], f"lm-counts-{n}", "zstd")
     below = levels[0].select(
         F.col("gram").alias("lower"), *(F.lit(1.0 / max(1, levels[0].count())).alias(f"p_{m}") for m in models)
     )
@@ -142,7 +161,7 @@ def losses(counts: DataFrame, order: int) -> DataFrame:
             return F.when(total > 0, (F.col(m) + kinds * p) / (total + kinds)).otherwise(p)
 
         name = "gram" if n == order else "lower"
-        below = stored(level.select(F.col("gram").alias(name), *(here(m).alias(f"p_{m}") for m in models)), f"lm-model-{n}")
+        below = stored(level.select(F.col("gram").alias(name), *(here(m).alias(f"p_{m}") for m in models)), f"lm-model-{n}", "zstd")
     return below.select("gram", *((-F.log2(f"p_{m}")).cast("float").alias(m) for m in models))
 
 
@@ -163,12 +182,12 @@ def character_difference(df: DataFrame, target: DataFrame, order: int = ORDER, b
     marked = documents(df).join(ids.withColumn("marked", F.lit(True)).hint("merge"), "doc_id", "left").select(
         "doc_id", "text", F.coalesce("marked", F.lit(False)).alias("marked")
     )
-    blocks = stored(dealt(marked, block_bytes), "lm-blocks")
+    blocks = stored(dealt(marked, block_bytes, order), "lm-blocks", "zstd")
     forget(spark)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_blocks(batches):
-            points, ends, sizes = characters(block.column("text").to_pylist(), order)
+            points, ends, sizes = characters(block.column("text").to_pylist(), block.column("lead").to_pylist(), order)
             of, grams = distinct(points, ends, order)
             good = np.repeat(block.column("marked").to_numpy().astype(bool), sizes)
             n = np.bincount(of, minlength=len(grams))
@@ -177,14 +196,14 @@ def character_difference(df: DataFrame, target: DataFrame, order: int = ORDER, b
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_blocks(batches):
-            points, ends, _ = characters(block.column("text").to_pylist(), order)
+            points, ends, _ = characters(block.column("text").to_pylist(), block.column("lead").to_pylist(), order)
             # Neighbours in order share their first characters, so the shuffle files are smaller.
             grams = np.sort(distinct(points, ends, order)[1].view(f"S{order * WIDTH}").ravel())
             grams = grams.view(np.uint8).reshape(len(grams), order * WIDTH)
             yield record(ASKED, block=pa.array(np.full(len(grams), block.column("block")[0].as_py(), np.int64)), gram=binary(grams))
 
     def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        points, ends, sizes = characters(docs.column("text").to_pylist(), order)
+        points, ends, sizes = characters(docs.column("text").to_pylist(), docs.column("lead").to_pylist(), order)
         of, grams = distinct(points, ends, order)
         kind = f"S{order * WIDTH}"
         known = buffer(answers.column("gram"))[0].view(kind)
@@ -194,22 +213,28 @@ def character_difference(df: DataFrame, target: DataFrame, order: int = ORDER, b
         if len(grams) and (known[at] != grams.view(kind).ravel()).any():
             raise ValueError("an n-gram of a block has no loss")
         some, first = sizes > 0, np.r_[0, np.cumsum(sizes)[:-1]]
-        means = []
+        sums = []
         for model in ("target", "background"):
             loss = answers.column(model).to_numpy().astype(np.float64)[at][of]
             total = np.zeros(len(sizes))
             if len(loss):
                 total[some] = np.add.reduceat(loss, first[some])
-            means.append(np.where(some, total / np.maximum(sizes, 1), np.nan))
+            sums.append(total)
         return pa.Table.from_batches([record(
-            SCORES, doc_id=docs.column("doc_id").combine_chunks(), n_tokens=pa.array(sizes),
-            loss_target=pa.array(means[0], from_pandas=True), loss_background=pa.array(means[1], from_pandas=True),
-            score=pa.array(means[0] - means[1], from_pandas=True),
+            SUMS, row=docs.column("row").combine_chunks(), doc_id=docs.column("doc_id").combine_chunks(), n_tokens=pa.array(sizes),
+            target=pa.array(sums[0]), background=pa.array(sums[1]),
         )])
 
-    texts = blocks.select("block", "text", "marked")
+    texts = blocks.select("block", "lead", "text", "marked")
     counts = texts.mapInArrow(counted, COUNTS).groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    table = losses(stored(counts, f"lm-counts-{order}"), order)
+    table = losses(stored(counts, f"lm-counts-{order}", "zstd"), order)
     forget(spark)
     answers = texts.mapInArrow(asked, ASKED).join(table.hint("merge"), "gram").select("block", "gram", "target", "background")
-    return blocks.select("block", "doc_id", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, SCORES)
+    parts = blocks.select("block", "row", "doc_id", "lead", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, SUMS)
+    # Slices of one document are added up; all others are a row already.
+    sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "target", "background")))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    return sums.select(
+        "doc_id", "n_tokens", mean("target").alias("loss_target"), mean("background").alias("loss_background"),
+        (mean("target") - mean("background")).alias("score"),
+    )

@@ -8,12 +8,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Bytes of text that a Python task turns into arrays at once.
 PIECE_BYTES = 1 << 20
+#: Characters of a text by which rows of one id are put in order before they are dealt out.
+HEAD = 256
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
@@ -36,11 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written as Parquet below the shared folder and read back: later steps start from the files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,9 +62,17 @@ def numbered(df: DataFrame) -> DataFrame:
         return df.withColumn("row", F.col("doc_id"))
     others = [c for c in df.columns if c not in ("doc_id", "text")]
     distinct = df.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("others"))
-    flat = distinct.select("doc_id", "text", *(f"others.{c}" for c in others)).select(*df.columns)
-    rows = flat.orderBy("doc_id", "text").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return stored(df.sparkSession.createDataFrame(rows, T.StructType([*flat.schema, T.StructField("row", T.LongType())])), "numbered")
+    # Ranges of (doc_id, beginning of the text) are in order and split an id that many rows share; each is numbered by itself,
+    # and the ranges before it are counted.
+    head = F.substring("text", F.lit(1), F.lit(HEAD))
+    ranged = distinct.repartitionByRange(F.col("doc_id").asc_nulls_first(), head).withColumn("range", F.spark_partition_id())
+    ranged = stored(ranged, "numbered-ranges")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")) - 1
+    rows = ranged.withColumn("place", place).join(F.broadcast(before), "range")
+    flat = rows.select("doc_id", "text", *(f"others.{c}" for c in others), (F.col("place") + F.col("before")).cast("long").alias("row"))
+    return stored(flat.select(*df.columns, "row"), "numbered")
 
 
 def buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

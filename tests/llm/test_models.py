@@ -1,76 +1,13 @@
-"""LM scoring and language identification against plain dictionaries, and on held-out texts."""
+"""Language identification against plain dictionaries, and on held-out texts."""
 
-import math
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fileguard.llm import language_id as li
-from fileguard.llm.lm_scoring import cross_entropy_difference
-from tests.llm.cases import LONG, ROWS, awkward, documents, empty
-
-
-def symbols_of(texts):
-    n = Counter(b for t in texts for b in t.encode())
-    common = sorted(n, key=lambda b: (-n[b], b))[:62]
-    return {b: i for i, b in enumerate(common)}
-
-
-def witten_bell(texts, symbol):
-    """Probability of a symbol after a history of up to three, by the textbook recursion."""
-    counts = [defaultdict(Counter) for _ in range(4)]
-    for t in texts:
-        s = [63] * 3 + [symbol.get(b, 62) for b in t.encode()]
-        for i in range(3, len(s)):
-            for k in range(4):
-                counts[k][tuple(s[i - k : i])][s[i]] += 1
-
-    def p(history, x):
-        below = p(history[1:], x) if history else 1 / 64
-        seen = counts[len(history)].get(tuple(history))
-        return below if not seen else (seen[x] + len(seen) * below) / (sum(seen.values()) + len(seen))
-
-    return p
-
-
-def test_losses_against_the_recursion(spark):
-    items = [(d, t) for d, t in ROWS if t != LONG and t != LONG + "and a bit more"]
-    items += [(20, "the cat sat on the mat"), (21, "the cat sat on the hat"), (22, "zzz yyy xxx")]
-    df = spark.createDataFrame(items, "doc_id long, text string").withColumn("marked", F.lit("clash"))
-    marked = {1, 20}
-    target = spark.createDataFrame([(1,), (20,), (20,), (None,), (99,)], "doc_id long")
-    symbol = symbols_of([t or "" for _, t in items])
-    good = witten_bell([t or "" for d, t in items if d in marked], symbol)
-    rest = witten_bell([t or "" for d, t in items if d not in marked], symbol)
-    expected = []
-    for d, t in items:
-        s = [63] * 3 + [symbol.get(b, 62) for b in (t or "").encode()]
-        n = len(s) - 3
-        losses = [sum(-math.log2(p(s[i - 3 : i], s[i])) for i in range(3, len(s))) / n if n else None for p in (good, rest)]
-        expected.append((d, n, *losses))
-    found = cross_entropy_difference(df, target).collect()
-    key = lambda r: (str(r[0]), r[1], r[2] or 0)
-    for got, want in zip(sorted(map(tuple, found), key=key), sorted(expected, key=key), strict=True):
-        assert got[:2] == want[:2]
-        assert (got[4] is None) == (want[2] is None)
-        if want[2] is not None:
-            assert got[2:4] == pytest.approx(want[2:], rel=1e-5)
-            assert got[4] == pytest.approx(want[2] - want[3], rel=1e-4, abs=1e-5)
-
-
-def test_scoring_corners(spark):
-    assert cross_entropy_difference(empty(spark), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
-    alone = cross_entropy_difference(awkward(spark), spark.createDataFrame([], "doc_id long")).where("doc_id = 1").first()
-    assert alone["loss_target"] == pytest.approx(6.0)
-
-
-def test_good_texts_score_lower(spark):
-    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    scored = cross_entropy_difference(documents(spark), labels.where("quality = 1 and toxic = 0"))
-    by = {r["quality"]: r["s"] for r in scored.join(labels, "doc_id").groupBy("quality").agg(F.avg("score").alias("s")).collect()}
-    assert by[1] < by[0]
+from tests.llm.cases import awkward, documents, empty
 
 
 def kneser_ney(texts):
