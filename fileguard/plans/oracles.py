@@ -448,6 +448,26 @@ def build() -> dict[str, str]:
     q["hmm_separability_all_chunks"] = q["hmm_separability"].replace("select unnest(range(300,1501,100)) as ns", "select 0 as ns").replace(
         "from cm, ns where chunk<ns", "from cm, ns"
     ).replace("cast(st.ns as int) as n_sequences", "cast(null as int) as n_sequences")
+    q["likelihood_sweep"] = _with(*_SCORED) + f""", bn as (select high_velocity as hv, systematic_rename as sr,
+        cast(floor((ln(greatest(score,1e-12::double))-ln(1.0::double-score+1e-9::double))/0.001::double) as bigint) as b,
+        sum(cast(drive_id=0 as int)) as pos, sum(cast(drive_id<>0 as int)) as neg from fu group by 1,2,3),
+      g as (select v, w from (select 1.5+0.5*unnest(range(18)) as v), (select 2.0+unnest(range(14)) as w)),
+      vl as (select cast(v as double) as v, cast(w as double) as w, pos, neg, b*0.001::double+(case when hv then ln(cast(v as double)) else 0 end
+             +case when sr then ln(cast(w as double)) else 0 end) as x from bn, g),
+      cu as (select v, w, x, sum(pos) as pos, sum(neg) as neg from vl group by v, w, x),
+      rk as (select *, sum(neg) over (partition by v, w order by x) - neg/2.0 as below from cu),
+      ar as (select v, w, sum(pos*below)/nullif(sum(pos)*sum(neg),0) as auc, sum(case when x>=0 then pos else 0 end) as tp,
+             sum(case when x>=0 then neg else 0 end) as fp, sum(pos) as n from rk group by v, w),
+      pr0 as (select *, coalesce(tp/nullif(tp+fp,0)::double,0) as p, coalesce(tp/nullif(n,0)::double,0) as r from ar)
+      select v as velocity_ratio, w as rename_ratio, round({_F1},6) as f1, round(auc,6) as auc from pr0"""
+    best = lambda name, first, second, *rest: f"(select * from ({q[name]}) order by {first} desc, {second} desc, {', '.join(rest)} limit 1)"
+    q["tuning_config"] = f"""select velocity_ratio, rename_ratio, velocity_threshold, rename_threshold, alert_pct/100.0::double as alert,
+        pause_pct/100.0::double as pause, critical_pct/100.0::double as critical, sequence_length, n_sequences,
+        (select count(*) from documents d join labels l on d.doc_id=l.doc_id) as training_samples, (select count(*) from events) as user_events
+      from {best("likelihood_sweep", "f1", "auc", "velocity_ratio", "rename_ratio")},
+        {best("micropattern_sweep", "f1", '"precision"', "velocity_threshold", "rename_threshold")},
+        {best("alert_threshold_sweep", "f1", "recall", "alert_pct", "pause_pct", "critical_pct")},
+        {best("hmm_separability", "ks", "cohens_d", "sequence_length", "n_sequences")}"""
     trials = "with t as (select p_partkey as trial, cast(p_size as double) as f1, p_retailprice as f2 from part)"
     q["snapshot_chain_emptied"] = q["snapshot_chain"].replace("with sn as", "with sn0 as").replace(
         "po as (select distinct drive_id, snapshot_id from sn)",

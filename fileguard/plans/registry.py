@@ -449,6 +449,38 @@ def likelihood_ratios(spark, d):
     return tuning.likelihood_ratios(_labelled_flags(spark, d)).withColumn("ratio", F.round("ratio", 6))
 
 
+@query
+def likelihood_sweep(spark, d):
+    rows = tuning.likelihood_sweep(_fused(spark, d).withColumn("label", (F.col("drive_id") == 0).cast("int")))
+    return rows.withColumns({c: F.round(c, 6) for c in ("f1", "auc")})
+
+
+@query
+def tuning_config(spark, d):
+    """Sweeps to fronts to best trials to one configuration."""
+    def best(rows: DataFrame, params: list[str], f1: str, f2: str) -> DataFrame:
+        trials = rows.select(*params, F.col(f1).alias("f1"), F.col(f2).alias("f2"))
+        return tuning.best_trial(tuning.pareto_front(cut_lineage(trials)), params)
+
+    ratios = best(likelihood_sweep(spark, d), ["velocity_ratio", "rename_ratio"], "f1", "auc")
+    named = F.array(*(F.struct(F.lit(p).alias("pattern"), F.col(c).alias("ratio")) for p, c in (("high_velocity", "velocity_ratio"), ("systematic_rename", "rename_ratio"))))
+    config = tuning.tuning_config(
+        ratios.select(F.explode(named).alias("p")).select("p.*"),
+        best(micropattern_sweep(spark, d), ["velocity_threshold", "rename_threshold"], "f1", "precision"),
+        best(alert_threshold_sweep(spark, d), ["alert_pct", "pause_pct", "critical_pct"], "f1", "recall"),
+        best(hmm_separability(spark, d), ["sequence_length", "n_sequences"], "ks", "cohens_d"),
+        adapters.labelled_features(spark, d).count(), adapters.file_events(spark, d).count(), "2024-01-01T00:00:00",
+    )
+    return tuning.config_frame(spark, config).select(
+        F.col("likelihood_ratios.high_velocity").alias("velocity_ratio"), F.col("likelihood_ratios.systematic_rename").alias("rename_ratio"),
+        F.col("micropattern_thresholds.high_velocity.threshold").alias("velocity_threshold"),
+        F.col("micropattern_thresholds.systematic_rename.threshold").alias("rename_threshold"),
+        F.col("alert_thresholds.alert").alias("alert"), F.col("alert_thresholds.pause").alias("pause"), F.col("alert_thresholds.critical").alias("critical"),
+        "hmm_parameters.sequence_length", F.col("hmm_parameters.n_sequences_per_class").alias("n_sequences"),
+        "metadata.training_samples", "metadata.user_events",
+    )
+
+
 @query
 def micropattern_sweep(spark, d):
     """The penalty's bound is the busiest drive's measured busy minute; created files count from 0 to 2 a row."""
