@@ -32,6 +32,7 @@ def window_measures(
         distinct=distinct,
         window_us=detector.window_us,
         chunk_us=scan.chunk_us,
+        rows_per_piece=scan.rows_per_piece,
     )
 
 
@@ -59,6 +60,7 @@ def high_velocity(
         counts={"recent_writes": F.col("event_type").isin(*detector.write_types)},
         window_us=detector.window_us,
         chunk_us=scan.chunk_us,
+        rows_per_piece=scan.rows_per_piece,
     )
     return counted.withColumn("high_velocity", flag_columns(detector)["high_velocity"])
 
@@ -73,6 +75,7 @@ def systematic_rename(
         distinct={"rename_extensions": (_is_rename(), _rename_token())},
         window_us=detector.window_us,
         chunk_us=scan.chunk_us,
+        rows_per_piece=scan.rows_per_piece,
     )
     return counted.withColumn("systematic_rename", flag_columns(detector)["systematic_rename"])
 
@@ -86,6 +89,7 @@ def recent_files_affected(
         distinct={"recent_files": (F.lit(True), F.col("stable_id"))},
         window_us=detector.window_us,
         chunk_us=scan.chunk_us,
+        rows_per_piece=scan.rows_per_piece,
     )
 
 

@@ -65,13 +65,14 @@ def trailing_counts(
     chunk_us: int,
     key: str = "drive_id",
     ts: str = "ts_us",
+    rows_per_piece: int | None = None,
 ) -> DataFrame:
     """Per row, counts over the same key's rows with time in ``[ts - window_us, ts]``, both ends included.
 
     ``counts`` maps a new column to a condition; ``distinct`` maps one to (condition, value) and counts distinct
     values. A sliding frame would cost rows x frame; here each counted row is +1 at its time and -1 just after it
     leaves the window, and each stretch in which a value stays present is one +1 and one -1, so a single running
-    sum answers every row.
+    sum answers every row. With ``rows_per_piece``, chunks that hold more steps are cut again (see ``row_bounded``).
     """
     counts, distinct = counts or {}, distinct or {}
     names = [*counts, *distinct]
@@ -121,10 +122,47 @@ def trailing_counts(
         )
         steps = steps.unionByName(edges, allowMissingColumns=True)
     steps = steps.withColumn(_CHUNK, slot(F.col("_t"), chunk_us))
+    if rows_per_piece:
+        steps = row_bounded(steps, key, "_t", rows_per_piece)
     totals = running_totals(steps, key, ["_t", "_k"], names)
     return totals.where("_real").select(*events.columns, *names)
 
 
+#: A chunk is cut into so many pieces at most.
+MOST_PIECES = 4096
+#: Busy chunks up to which their cuts are broadcast; beyond, the join is left to the optimizer.
+BROADCAST_CHUNKS = 1000
+
+
+def row_bounded(steps: DataFrame, key: str, ts: str, most: int) -> DataFrame:
+    """``steps`` with the chunks above ``most`` rows cut at quantiles of their times, so that a burst is not one task.
+
+    A step finds its piece, whether it arrives or leaves there, by binary search among its chunk's cuts. Rows of one time stay
+    together, since they share one sum; only a single microsecond with more than ``most`` rows makes a larger piece. Chunk
+    numbers grow by a factor, so pieces keep the order of time. Costs one count of the steps by chunk and one quantile sketch.
+    """
+    sizes = steps.groupBy(key, _CHUNK).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
+    busiest, chunks = sizes.agg(F.max("_rows"), F.count("*")).first()
+    if not chunks:
+        return steps
+    pieces = 2
+    while pieces < min(MOST_PIECES, 2 * busiest / most):
+        pieces *= 2
+    fractions = [i / pieces for i in range(1, pieces)]
+    # The semi-join keeps the sketch to busy chunks; it is aggregated before the shuffle.
+    busy = sizes.select(key, _CHUNK)
+    busy = F.broadcast(busy) if chunks <= BROADCAST_CHUNKS else busy
+    cuts = steps.select(key, _CHUNK, ts).join(busy, [key, _CHUNK], "left_semi").groupBy(key, _CHUNK)
+    cuts = cuts.agg(F.percentile_approx(ts, fractions, 16 * pieces).alias("_cuts"))
+    placed = steps.join(F.broadcast(cuts) if chunks <= BROADCAST_CHUNKS else cuts, [key, _CHUNK], "left").withColumn("_piece", F.lit(0))
+    half = pieces // 2
+    while half:
+        beyond = F.coalesce(F.col(ts) > F.col("_cuts")[F.col("_piece") + (half - 1)], F.lit(False))
+        placed = placed.withColumn("_piece", F.col("_piece") + F.when(beyond, half).otherwise(0))
+        half //= 2
+    return placed.withColumn(_CHUNK, F.col(_CHUNK) * pieces + F.col("_piece")).select(*steps.columns)
+
+
 def busy_keys(rows: DataFrame, keys: list[str], more_than: int) -> DataFrame:
     """Keys with more than ``more_than`` rows. There are at most total rows / ``more_than`` of them."""
     return rows.groupBy(*keys).count().where(F.col("count") > more_than).select(*keys)

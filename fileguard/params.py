@@ -87,10 +87,12 @@ class ScanParams:
 
     ``chunk_seconds`` cuts a drive by time: a task holds at most that many seconds of one drive.
     ``rows_per_chunk`` cuts by event id: ids are unique, so a chunk holds at most that many rows.
+    ``rows_per_piece``, if given, cuts time chunks with more steps once more, at quantiles of their times.
     """
 
     chunk_seconds: int = 600
     rows_per_chunk: int = 1_000_000
+    rows_per_piece: int | None = None
 
     @property
     def chunk_us(self) -> int:

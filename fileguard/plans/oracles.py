@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import log
 
-from fileguard.plans.settings import DELAY_SECONDS, HMM, PARAMS, PARTS, SINCE_ID, SNAPSHOT_DAY
+from fileguard.plans.settings import BURST_US, DELAY_SECONDS, HMM, PARAMS, PARTS, SINCE_ID, SNAPSHOT_DAY
 from fileguard.schemas import FEATURES
 
 EVENTS = """
@@ -520,6 +520,10 @@ def build() -> dict[str, str]:
         from bt"""
     q["stream_flags"] = _with(EVENTS, MEASURES) + """ select drive_id, id, ts_us, cast(recent_writes as bigint) as recent_writes,
         cast(recent_renames as bigint) as recent_renames, rename_extensions, recent_files, high_velocity, systematic_rename from fl"""
+    q["window_measures_in_pieces"] = _with(EVENTS.replace("fe as (", "fe0 as (") + f""",
+      fe as (select * replace (case when id%10<>0 then {BURST_US}+ts_us%1000000 else ts_us end as ts_us) from fe0)""", MEASURES) + """
+      select id, drive_id, ts_us, cast(recent_writes as bigint) as recent_writes, cast(recent_renames as bigint) as recent_renames,
+        rename_extensions, recent_files, high_velocity, systematic_rename from fl"""
     q["stream_attacks"] = q["attack_sessions"]
     q["stream_snapshot_events"] = q["snapshot_chain_emptied"]
     q["late_events"] = _with(EVENTS) + f""", sp as (select min(ts_us) as lo, max(ts_us) as hi from fe),

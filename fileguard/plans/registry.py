@@ -23,7 +23,7 @@ from fileguard.operators import (
 )
 from fileguard.plans import adapters, detection
 from fileguard.params import ScanParams
-from fileguard.plans.settings import PARAMS, SINCE_ID
+from fileguard.plans.settings import BURST_US, PARAMS, SINCE_ID
 from fileguard.schemas import FEATURES
 from fileguard.session import cut_lineage, working_folder
 from fileguard.sources import events as event_source
@@ -181,6 +181,15 @@ def previous_title(spark, d):
 CHUNKED = replace(PARAMS, scan=ScanParams(chunk_seconds=45, rows_per_chunk=300))
 
 
+@query
+def window_measures_in_pieces(spark, d):
+    """Nine of ten events of a drive fall into one second; pieces hold 200 steps."""
+    events = adapters.file_events(spark, d)
+    squeezed = F.when(F.col("id") % 10 != 0, F.lit(BURST_US) + F.col("ts_us") % 1_000_000).otherwise(F.col("ts_us"))
+    rows = detectors.detector_flags(events.withColumn("ts_us", squeezed), PARAMS.detector, ScanParams(rows_per_piece=200))
+    return rows.select("id", "drive_id", "ts_us", "recent_writes", "recent_renames", "rename_extensions", "recent_files", "high_velocity", "systematic_rename")
+
+
 @query
 def previous_title_chunked(spark, d):
     rows = features.previous_title(adapters.file_events(spark, d), CHUNKED.scan)

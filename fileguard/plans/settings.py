@@ -14,3 +14,5 @@ DELAY_SECONDS = 10
 PARTS = 3
 #: Places (ten a poll) of a part of the snapshot stream: cuts lie inside polls.
 POLL_CUT = 47
+#: The second that most events are moved into to make a burst.
+BURST_US = 1_706_000_000_000_000

@@ -195,3 +195,23 @@ def test_stratified_split(spark):
     assert {(r.label, r.split): r["count"] for r in got} == {
         (0, "test"): 180, (0, "train"): 720, (1, "test"): 20, (1, "train"): 80
     }
+
+
+def test_a_burst_is_cut_into_pieces_of_bounded_size(spark):
+    """One second with nine tenths of a drive: no piece above the bound, and the same counts as without pieces."""
+    from fileguard.operators import scans
+
+    rows = spark.range(4000).select(
+        "id", F.lit(1).cast("long").alias("drive_id"), F.when(F.col("id") % 10 != 0, 5_000_000_000 + F.col("id") * 231 % 1_000_000).otherwise(F.col("id") * 3_000_000).alias("ts_us"),
+        (F.col("id") * 7 % 50).alias("stable_id"),
+    )
+    how = dict(counts={"n": F.col("id") % 2 == 0}, distinct={"files": (F.lit(True), F.col("stable_id"))}, window_us=400_000, chunk_us=600_000_000)
+    plain = scans.trailing_counts(rows, **how)
+    cut = scans.trailing_counts(rows, **how, rows_per_piece=150)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
+    steps = rows.select("drive_id", F.col("ts_us").alias("_t"), scans.slot(F.col("ts_us"), 600_000_000).alias("_chunk"))
+    sizes = scans.row_bounded(steps, "drive_id", "_t", 150).groupBy("_chunk").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 150 and sizes[1] > 3600 / 150
+    # Times with equal rows stay together, in order.
+    bounds = scans.row_bounded(steps, "drive_id", "_t", 150).groupBy("_chunk").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).orderBy("_chunk").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(bounds, bounds[1:], strict=False))
