@@ -13,6 +13,7 @@ from fileguard.operators.fusion import event_scores, fused_scores
 from fileguard.operators.hmm import entropy_sequence, hmm_state
 from fileguard.operators.models import classifier_scores
 from fileguard.params import EngineParams
+from fileguard.sources.events import accepted_events
 
 
 def flagged_features(
@@ -48,11 +49,12 @@ def scored_events(
     """Events with everything the decision needs: features, flags, ``score``, ``fused``, ``state``, ``malicious``.
 
     Three shuffles of the event rows: by drive and time chunk for the windows, by file for the previous title, and by
-    drive and id chunk for the entropy sequence. ``mode`` is 'event' (every event has its own window) or 'poll'.
+    drive and id chunk for the entropy sequence. ``mode`` is 'event' (every event has its own window) or 'poll'. Events
+    without id, time or drive have no place in any order: they are left out here, and ``sources.events.rejected_events`` counts them.
     """
     if mode not in ("event", "poll"):
         raise ValueError(f"unknown mode {mode!r}")
-    base = with_event_time(events)
+    base = with_event_time(accepted_events(events))
     shared = None
     if mode == "poll":
         shared = batch_flags(detector_flags(base, params.detector, params.scan, files=False), params.decision)

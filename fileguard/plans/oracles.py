@@ -520,6 +520,18 @@ def build() -> dict[str, str]:
         from bt"""
     q["stream_flags"] = _with(EVENTS, MEASURES) + """ select drive_id, id, ts_us, cast(recent_writes as bigint) as recent_writes,
         cast(recent_renames as bigint) as recent_renames, rename_extensions, recent_files, high_velocity, systematic_rename from fl"""
+    q["parameters_as_of"] = _with(EVENTS, MEASURES) + """, md as (select (min(ts_us)+max(ts_us))//2 as middle from fe),
+      vr as (select fl.*, ts_us >= middle as late, case when ts_us >= middle then 20 else 50 end as vt, case when ts_us >= middle then 3 else 5 end as rt
+             from fl, md),
+      ff as (select *, recent_writes > vt as hv, recent_renames >= rt and rename_extensions = 1 as sr from vr)
+      select id, hv as high_velocity, sr as systematic_rename,
+        (case when hv then case when late then 2.0 else 3.0 end else 1.0 end * case when sr then case when late then 6.0 else 4.0 end else 1.0 end)::double as evidence,
+        cast(regexp_matches(lower(full_path), 'appdata|temp|tmp|programdata|userprofile') or (late and contains(lower(full_path), 'photos')) as int) as suspicious_path,
+        cast(regexp_matches(lower(local_title),'(\\.exe|\\.bat|\\.ps1)$') as int) as process_related,
+        cast(regexp_matches(lower(local_title),'(\\.exe|\\.dll)$') as int) as system_executable from ff"""
+    q["scored_events_accepted"] = _with(EVENTS.replace("fe as (", "fe0 as (") + """,
+      fe as (select * from fe0 where id%1000 not in (7,8,9))""", *_STATED[1:]) + """ select id, drive_id, previous_title, round(score,6) as score,
+        round(fused,6) as fused, state from hm"""
     q["window_measures_in_pieces"] = _with(EVENTS.replace("fe as (", "fe0 as (") + f""",
       fe as (select * replace (case when id%10<>0 then {BURST_US}+ts_us%1000000 else ts_us end as ts_us) from fe0)""", MEASURES) + """
       select id, drive_id, ts_us, cast(recent_writes as bigint) as recent_writes, cast(recent_renames as bigint) as recent_renames,

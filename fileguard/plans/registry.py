@@ -18,6 +18,7 @@ from fileguard.operators import (
     hmm,
     metrics,
     models,
+    parameters,
     snapshots,
     tuning,
 )
@@ -181,6 +182,30 @@ def previous_title(spark, d):
 CHUNKED = replace(PARAMS, scan=ScanParams(chunk_seconds=45, rows_per_chunk=300))
 
 
+@query
+def parameters_as_of(spark, d):
+    """From the middle of the time on, other thresholds and multipliers hold, and one more word is suspicious."""
+    events = adapters.file_events(spark, d)
+    low, high = events.agg(F.min("ts_us"), F.max("ts_us")).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    versions = parameters.first_version(spark, PARAMS).unionByName(spark.createDataFrame([(middle, 20, 3, 2.0, 6.0)], parameters.VERSIONS))
+    words = parameters.default_words(spark).unionByName(
+        spark.createDataFrame([("suspicious_path", parameters.PATH, parameters.ANYWHERE, "Photos", middle, None)], parameters.WORDS)
+    )
+    lists = ["suspicious_path", "process_related", "system_executable"]
+    rows = parameters.flags_as_of(detectors.window_measures(events, PARAMS.detector, PARAMS.scan, files=False), versions)
+    return parameters.word_flags(rows, words, lists).select("id", "high_velocity", "systematic_rename", "evidence", *lists)
+
+
+@query
+def scored_events_accepted(spark, d):
+    """Every thousandth event lacks its time, its drive or its id; the others are scored as if it were not there."""
+    rows, place = adapters.file_events(spark, d).drop("ts_us"), F.col("id") % 1000
+    gaps = {c: F.when(place == k, None).otherwise(F.col(c)) for k, c in ((7, "timestamp"), (8, "drive_id"), (9, "id"))}
+    scored = detection.scored_events(rows.withColumns(gaps), PARAMS)
+    return scored.select("id", "drive_id", "previous_title", rounded("score"), rounded("fused"), "state")
+
+
 @query
 def window_measures_in_pieces(spark, d):
     """Nine of ten events of a drive fall into one second; pieces hold 200 steps."""
