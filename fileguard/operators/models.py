@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -159,6 +162,45 @@ def feature_attribution(
     )
 
 
+def permutations(features: list[str], n: int, seed: int) -> list[dict[str, int]]:
+    """``n`` seeded orders of the features: place (from 1) by name. The order is that of a digest, the same in any engine."""
+    digest = lambda m, f: hashlib.md5(f"{seed}|{m}|{f}".encode()).hexdigest()
+    return [{f: k for k, f in enumerate(sorted(features, key=lambda f: digest(m, f)), 1)} for m in range(n)]
+
+
+def sampled_shapley(
+    rows: DataFrame,
+    scorer: Callable[[DataFrame], DataFrame],
+    background: dict[str, float],
+    row_id: str = "row_id",
+    chains: int = 8,
+    seed: int = 42,
+) -> DataFrame:
+    """Contribution of each feature to each row's score: row_id, ``base`` (score of ``background``), ``prediction`` and one column
+    ``phi_<feature>`` each. A row's contributions sum to prediction minus base.
+
+    A chain takes the background row and gives it the row's values one by one in a seeded order; what a feature adds is the
+    score after its turn less the score before. All coalitions of all rows are scored in one pass by ``scorer`` (adds ``score``),
+    and a coalition adds its score to the feature that has just come and takes it from the one that comes next, so one
+    grouping with partial sums ends it; the coalitions of a row are made in one task, which sums them up before the shuffle.
+    """
+    features = list(background)
+    orders = permutations(features, chains, seed)
+    place = {f: F.get(F.array(*(F.lit(o[f]) for o in orders)), F.col("_m")) for f in features}
+    laid = rows.select(row_id, *features).withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    laid = laid.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
+    mixed = laid.select(
+        row_id, "_m", "_k", *(F.when(place[f] <= F.col("_k"), F.col(f).cast("double")).otherwise(F.lit(float(background[f]))).alias(f) for f in features)
+    )
+    scored = scorer(mixed).select(row_id, "_m", "_k", F.col("score").cast("double").alias("score"))
+    gains = [
+        (F.sum(F.when(place[f] == F.col("_k"), F.col("score")).when(place[f] == F.col("_k") + 1, -F.col("score")).otherwise(0.0)) / chains).alias(f"phi_{f}")
+        for f in features
+    ]
+    end = lambda k, name: F.avg(F.when(F.col("_k") == k, F.col("score"))).alias(name)
+    return scored.groupBy(row_id).agg(end(0, "base"), end(len(features), "prediction"), *gains)
+
+
 def class_rows(labelled: DataFrame, value: str, row_id: str = "row_id", rows_per_chunk: int = 1_000_000) -> DataFrame:
     """``label``, ``value`` and ``pos``, the row's 0-based position within its class by ``row_id``."""
     rows = labelled.where("label is not null").select(

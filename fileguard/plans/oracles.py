@@ -520,6 +520,19 @@ def build() -> dict[str, str]:
         from bt"""
     q["stream_flags"] = _with(EVENTS, MEASURES) + """ select drive_id, id, ts_us, cast(recent_writes as bigint) as recent_writes,
         cast(recent_renames as bigint) as recent_renames, rename_extensions, recent_files, high_velocity, systematic_rename from fl"""
+    mins = """, mi as (select drive_id, floor("timestamp"/60) as mn, count(*) as n from fe group by 1,2)"""
+    q["burst_sketches"] = _with(EVENTS) + mins + """, st as (select drive_id, case when n<=128 then n
+        else ceil(n/pow(2,floor(log2(n))-6))*pow(2,floor(log2(n))-6) end as step from mi),
+      rk as (select *, row_number() over (partition by drive_id order by step) as i, count(*) over (partition by drive_id) as c from st)
+      select drive_id, c as minutes, cast(min(step) as bigint) as typical_burst_size, cast(min(step) as bigint) as merged from rk where i>=c*0.95::double group by drive_id, c"""
+    weights = "[" + ", ".join(f"{{'f': '{f}', 'w': {_CARD.weights.get(f, 0.0)!r}::double, 'bg': {1.0 if f == 'extension_similarity' else 0.0}::double}}" for f in FEATURES) + "]"
+    linear = repr(_CARD.intercept + _CARD.weights["extension_similarity"])
+    q["shapley_contributions"] = _with(LABELLED) + f""", wt as (select unnest({weights}) as s),
+      pm as (select m, s.f as f, s.w as w, s.bg as bg, row_number() over (partition by m order by md5('42|'||m||'|'||s.f)) as k from wt, range(4) as r(m)),
+      lo as (select row_id, unnest([{", ".join(f"{{'f': '{f}', 'x': {f}::double}}" for f in FEATURES)}]) as v from lf),
+      ch as (select row_id, m, pm.f, k, w*(v.x-bg) as step, sum(w*(v.x-bg)) over (partition by row_id, m order by k) as until from lo join pm on pm.f = v.f),
+      ga as (select row_id, f, (1.0::double/(1.0::double+exp(-({linear}::double+until))) - 1.0::double/(1.0::double+exp(-({linear}::double+until-step))))/4 as g from ch)
+      select row_id, true as sums, {", ".join(f"round(sum(case when f='{f}' then g else 0 end),6) as phi_{f}" for f in FEATURES)} from ga group by row_id"""
     q["parameters_as_of"] = _with(EVENTS, MEASURES) + """, md as (select (min(ts_us)+max(ts_us))//2 as middle from fe),
       vr as (select fl.*, ts_us >= middle as late, case when ts_us >= middle then 20 else 50 end as vt, case when ts_us >= middle then 3 else 5 end as rt
              from fl, md),

@@ -697,6 +697,29 @@ def feature_attribution(spark, d):
     )
 
 
+#: The row without any sign of malice that contributions are measured from.
+BACKGROUND = {f: 1.0 if f == "extension_similarity" else 0.0 for f in FEATURES}
+
+
+@query
+def shapley_contributions(spark, d):
+    """Contributions to the scorecard's score, every labelled row; they sum to the score less that of the background."""
+    rows = adapters.labelled_features(spark, d)
+    found = models.sampled_shapley(rows, lambda x: fusion.event_scores(x, PARAMS.scorecard), BACKGROUND, chains=4)
+    total = sum((F.col(f"phi_{f}") for f in FEATURES), F.lit(0.0))
+    sums = F.abs(total - (F.col("prediction") - F.col("base"))) < 1e-9
+    return found.select("row_id", sums.alias("sums"), *(F.round(f"phi_{f}", 6).alias(f"phi_{f}") for f in FEATURES))
+
+
+@query
+def burst_sketches(spark, d):
+    """Hourly sketches, stored; odd and even hours merged apart and then together, and all at once."""
+    sketch = cut_lineage(metrics.burst_sketch(adapters.file_events(spark, d)))
+    halves = [metrics.merge_sketches(sketch.where(F.col("hour") % 2 == k)) for k in (0, 1)]
+    whole = metrics.sketch_quantile(sketch)
+    return whole.join(metrics.sketch_quantile(metrics.merge_sketches(*halves)).select("drive_id", F.col("typical_burst_size").alias("merged")), "drive_id")
+
+
 @query
 def train_hmm(spark, d):
     """Steps until the tolerance or the limit: the likelihood never falls and the states come out in the order of entropy."""
