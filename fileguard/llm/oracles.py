@@ -145,4 +145,45 @@ SELECT w.doc_id, w.digest, k.license_id, coalesce(f.n, 0)::BIGINT AS n_license_l
 FROM w LEFT JOIN k USING (digest) LEFT JOIN f ON f.doc_id = w.doc_id
 """
 
-ORACLES = {"op3_license_scan": LICENSES, "op8_quality_rules": QUALITY, "op9_chat_format": CHAT}
+
+
+def _crc_entry(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+# The checksum byte by byte; near words by what is left when one place is taken out.
+VARIANTS = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents WHERE text IS NOT NULL
+),
+g AS (SELECT doc_id, w, count(*) AS n FROM r WHERE length(w) >= 7 GROUP BY 1, 2),
+b AS (
+  SELECT w, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+         lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS bytes
+  FROM g
+),
+h AS (
+  SELECT w, n, xor(list_reduce(list_concat([4294967295::BIGINT], bytes),
+         lambda c, x: xor(c >> 8, ([{", ".join(str(_crc_entry(i)) for i in range(256))}]::BIGINT[])[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM b
+),
+e AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h),
+c AS (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS q FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM c)),
+m AS (
+  SELECT x.word, y.word AS other, y.n FROM v x JOIN v y ON x.i = y.i AND x.p = y.p AND x.q = y.q AND x.word <> y.word
+  UNION SELECT v.word, c.word, c.n FROM v JOIN c ON c.word = v.p || v.q
+  UNION SELECT c.word, v.word, v.n FROM v JOIN c ON c.word = v.p || v.q
+),
+k AS (SELECT word, count(*) AS n_near, max(n) AS most, first(other ORDER BY n DESC, other) AS other FROM m GROUP BY 1),
+f AS (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * c.n THEN other END AS form, CASE WHEN most >= 10 * c.n THEN most END AS form_n
+      FROM c LEFT JOIN k USING (word)),
+o AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT o.word, f.form, step + 1 FROM o JOIN f ON f.word = o.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, last.root, f.n, f.n_near, f.form_n
+FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM o GROUP BY 1) AS last USING (word)
+"""
+
+ORACLES = {"op3_license_scan": LICENSES, "op8_quality_rules": QUALITY, "op9_chat_format": CHAT, "op11_spelling_variants": VARIANTS}
