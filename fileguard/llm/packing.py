@@ -16,7 +16,9 @@ from fileguard.llm.token_counts import token_counts
 
 N_BUCKETS = 16
 BUDGET = 1 << 16
-#: Lengths up to this have a bin each; beyond, 128 bins for every doubling, so the histogram has at most some 40,000 bins.
+#: Lengths up to this have a bin each; beyond, 128 bins for every doubling, so the histogram has at most some 40,000 bins. A bin
+#: knows its longest row and the sum of its lengths, so a boundary is always a real length; only where it lies inside a bin is
+#: not tried, which costs less than 1/128 of a row's length.
 EXACT = 1 << 15
 ROWS_PER_CHUNK = 4096
 
@@ -32,8 +34,9 @@ def binned(n: Column) -> Column:
     return F.when(n <= EXACT, n).otherwise(F.ceil(n / step).cast("long") * step)
 
 
-def boundaries(lengths: list[int], counts: list[int], k: int) -> list[int]:
-    """At most ``k`` boundaries out of the rising ``lengths`` with the least padding; the last length is one of them.
+def boundaries(lengths: list[int], counts: list[int], k: int, sums: list[int] | None = None) -> list[int]:
+    """At most ``k`` boundaries out of the rising ``lengths`` with the least padding; the last length is one of them. ``sums`` gives
+    the sum of the rows' own lengths where a bin holds several.
 
     For a bucket that ends with bin j and follows bin i, padding is L[j] * (C[j] - C[i]) - (S[j] - S[i]), where C sums
     counts and S sums lengths of rows. For each j the best i minimises a line in L[j]; both slopes and L are monotone, so
@@ -44,7 +47,8 @@ def boundaries(lengths: list[int], counts: list[int], k: int) -> list[int]:
         return []
     k = min(k, n)
     c = [0, *np.cumsum(np.asarray(counts, object))]
-    s = [0, *np.cumsum(np.asarray(counts, object) * np.asarray(lengths, object))]
+    own = np.asarray(counts, object) * np.asarray(lengths, object) if sums is None else np.asarray(sums, object)
+    s = [0, *np.cumsum(own)]
     best: list[int | None] = [0] + [None] * n
     cuts: list[list[int]] = []
     for _ in range(k):
@@ -87,11 +91,13 @@ def pack(
     else:
         sized = token_counts(df, tokenizer).select("doc_id", "n_tokens")
     sized = stored(sized, "packing-lengths")
-    bins = sized.groupBy(binned(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
-    ends = boundaries([r["bin"] for r in bins], [r["n"] for r in bins], n_buckets)
+    bins = sized.groupBy(binned(F.col("n_tokens")).alias("bin")).agg(
+        F.count("*").alias("n"), F.max("n_tokens").alias("longest"), F.sum("n_tokens").alias("sum")
+    ).orderBy("bin").collect()
+    ends = boundaries([r["longest"] for r in bins], [r["n"] for r in bins], n_buckets, [r["sum"] for r in bins])
     if not ends:
         ends = [0]
-    held = [sum(r["n"] for r in bins if low < r["bin"] <= high) for low, high in zip([-1, *ends], ends, strict=False)]
+    held = [sum(r["n"] for r in bins if low < r["longest"] <= high) for low, high in zip([-1, *ends], ends, strict=False)]
     chunks = F.array(*(F.lit(max(1, -(-n // rows_per_chunk))) for n in held))
     bounds = F.array(*(F.lit(e).cast("long") for e in ends))
     bucket = F.size(F.filter(bounds, lambda b: b < F.col("n_tokens")))
