@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from fileguard.schemas import ALERT_LOG
 from fileguard.session import folder_exists
 
+#: Tasks that an attack's events are exported by, at most.
+EXPORT_SHARES = 8
 #: Marks of the log that is appended to by micro-batch.
 COMMITTED = "drive_id long, attempt string, alerts long, at_us long, batch_id long"
 
@@ -88,6 +90,8 @@ def append_audit(audited: DataFrame, path: str) -> None:
 
 
 def export_attacks(events: DataFrame, path: str) -> None:
-    """One CSV folder per drive and attack with the attack's events."""
+    """One CSV folder per drive and attack with the attack's events. Rows are dealt by attack first, a large one to several tasks, so
+    that a task writes to few folders."""
     flat = [name for name, kind in events.dtypes if not kind.startswith(("array", "struct", "map"))]
-    events.select(*flat).write.mode("overwrite").partitionBy("drive_id", "attack_no").csv(path, header=True)
+    dealt = events.select(*flat).repartition("drive_id", "attack_no", F.pmod(F.xxhash64("id"), F.lit(EXPORT_SHARES)))
+    dealt.write.mode("overwrite").partitionBy("drive_id", "attack_no").csv(path, header=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from fileguard.operators.decisions import alerts, batch_threat
 from fileguard.operators.snapshots import snapshot_chain
 from fileguard.params import EngineParams
 from fileguard.plans.detection import scored_with_context
+from fileguard.session import folder_exists
 from fileguard.sources.alerts import alert_log
 from fileguard.streaming.ordered import ORDERED_EVENTS, ordered_events
 
@@ -21,14 +21,14 @@ class SlotTable:
         self.path = path
 
     def read(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """The table after the micro-batch before, None before the first. Every micro-batch writes it, so if it is not there it
+        was lost, and going on without it would decide events as if they had no history."""
         if batch_id == 0:
             return None
-        try:
-            return spark.read.parquet(f"{self.path}/slot={(batch_id - 1) % 2}")
-        except AnalysisException as error:
-            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+        path = f"{self.path}/slot={(batch_id - 1) % 2}"
+        if not folder_exists(spark, path):
+            raise ValueError(f"{path} is missing: the stream's look-back is lost, start it with a new checkpoint")
+        return spark.read.parquet(path)
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/slot={batch_id % 2}")
