@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import log
 
-from fileguard.plans.settings import BURST_US, DELAY_SECONDS, HMM, PARAMS, PARTS, SINCE_ID, SNAPSHOT_DAY
+from fileguard.plans.settings import BURST_US, DELAY_SECONDS, HMM, PARAMS, PARTS, SINCE_ID
 from fileguard.schemas import FEATURES
 
 EVENTS = """
