@@ -8,7 +8,6 @@ from fileguard.params import EngineParams, HmmParams
 HMM = HmmParams(pi=(0.6, 0.4), a=((0.95, 0.05), (0.1, 0.9)), mu=(3.55, 3.9), var=(0.04, 0.04))
 PARAMS = EngineParams(hmm=HMM)
 SINCE_ID = 2_500
-SNAPSHOT_DAY = 86_400
 #: Allowed delay of the registered streams, and the parts their rows arrive in.
 DELAY_SECONDS = 10
 PARTS = 3
