@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from fileguard.schemas import ALERT_LOG, FILE_EVENTS
 from fileguard.sources import alerts as alert_source
 from fileguard.sources.snapshots import ITEMS
 from fileguard.streaming import intake
-from fileguard.streaming.attacks import attacks_stream
+from fileguard.streaming.attacks import Attacks, Runs, attacks_stream, runs_of
+from fileguard.streaming.packed import held_rows
 from fileguard.streaming.snapshots import snapshot_events_stream
 from fileguard.streaming.windows import MEASURES, flags_stream
 from tests.test_streaming import make_events, sentinel
@@ -196,3 +198,89 @@ def test_alert_log_neither_loses_nor_doubles(spark, tmp_path):
         alert_source.commit_attempt(spark, path, 2, attempt)
     alert_source.append_alerts_once(found(), path, 3)
     assert log() == [(0, 0, "t2"), (0, 1, "t4"), (1, 0, "t1"), (1, 1, "t3"), (1, 2, "t5")]
+
+
+class State:
+    """A value or list state in memory that counts the elements given to it."""
+
+    def __init__(self):
+        self.rows, self.given = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[0] if self.single else iter(list(self.rows))
+
+    def put(self, rows):
+        self.rows, self.given = list(rows), self.given + len(rows)
+
+    def appendList(self, rows):
+        self.rows, self.given = self.rows + list(rows), self.given + len(rows)
+
+    def update(self, row):
+        self.rows = [row]
+
+    def clear(self):
+        self.rows = []
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def _state(self, name, single):
+        found = self.states.setdefault(name, State())
+        found.single = single
+        return found
+
+    def getListState(self, name, schema):
+        return self._state(name, False)
+
+    def getValueState(self, name, schema):
+        return self._state(name, True)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_runs_over_chunks_and_releases_are_one_attack():
+    gap, chunk = 60, 1000
+    rng = np.random.default_rng(3)
+    # Stretches of events with quiet ones in between, so that some attacks lie over several chunks and some inside one.
+    steps = np.where(rng.random(4000) < 0.02, 61 + rng.integers(0, 400, 4000), rng.integers(0, 61, 4000))
+    ts = np.cumsum(steps)
+    rows = pd.DataFrame({"drive_id": 0, "chunk": ts // chunk, "ts_us": ts, "file": rng.integers(0, 60, 4000).astype(str), "fused": np.round(rng.random(4000), 6)})
+    rows.loc[rows.index % 50 == 0, "fused"] = np.nan
+    want, number = [], np.cumsum(np.r_[True, np.diff(ts) > gap])
+    for no, g in rows.groupby(number):
+        want.append((0, no, g["ts_us"].min(), g["ts_us"].max(), g["ts_us"].max() - g["ts_us"].min(), len(g), g["file"].nunique(), g["fused"].max()))
+    for cuts in ((4000,), (1, 2, 900, 901, 2500, 4000), tuple(range(40, 4001, 40))):
+        processor, handle, out = Attacks(gap), Handle(), []
+        processor.init(handle)
+        for a, b in zip((0, *cuts), cuts, strict=False):
+            out += list(processor.handleInputRows((0,), iter([runs_of(rows.iloc[a:b], gap)]), Clock(0)))
+        assert len(held_rows(handle.states["files"])) <= 2 * 60 + 60
+        out += list(processor.handleExpiredTimer((0,), Clock(10**9), None))
+        assert not handle.states["files"].rows and list(processor.handleExpiredTimer((0,), Clock(10**9), None)) == []
+        got = pd.concat(out, ignore_index=True)
+        assert len(got) == len(want) and all(x == y or (pd.isna(x) and pd.isna(y)) for r, w in zip(got.itertuples(index=False, name=None), want, strict=True) for x, y in zip(r, w, strict=True))
+
+
+def test_held_events_of_attacks_cost_no_state_element_by_event():
+    n = 30_000
+    rows = pd.DataFrame({"drive_id": 0, "chunk": 0, "ts_us": np.arange(n) * 10, "file": [str(i % 7000) for i in range(n)], "fused": 0.9})
+    processor, handle = Runs(60), Handle()
+    processor.init(handle)
+    list(processor.handleInputRows((0,), iter([rows]), Clock(0)))
+    released = pd.concat(processor.handleExpiredTimer((0,), Clock(100), None))
+    assert handle.states["held"].given < 10 and len(handle.timers) == 2
+    assert released["events"].tolist() == [10_001] and len(released["names"].iloc[0]) == 7000
