@@ -1,11 +1,9 @@
 """Trailing-window measures on a stream, from keyed state.
 
-The state has two levels. A first operator is keyed by (drive, kind, shard): a shard counts some of a drive's writes and renames,
-or watches some of its files or rename extensions, so a busy drive is spread over ``shards`` keys of each kind. It holds events
-until their poll interval lies behind the watermark and then turns them into steps: +1 where something is counted or a value
-appears, -1 just after it has left the window. Steps that leave later stay in the state, and an event-time timer takes them out.
-The second operator is keyed by drive. It sees one row for each shard and time, keeps four running totals, and answers every
-event of the interval. All shards release an interval in the same micro-batch, since they share the watermark.
+A drive's time is cut into chunks, and an event is told to its own chunk and, where the window reaches over the border, to the
+next one as look-back. So a chunk answers for its events alone, and a busy drive, or a long replay of one, is spread over
+its chunks. Chunks are dealt over ``shards`` keys: a key settles all of its chunks in one pass over their rows. It holds events until
+their poll interval lies behind the watermark, answers them, and keeps what later events of the chunk can still see.
 """
 
 from __future__ import annotations
@@ -19,62 +17,77 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from fileguard.functions import text
-from fileguard.functions.time import behind_watermark, with_event_time
+from fileguard.functions.time import behind_watermark, slot, with_event_time
 from fileguard.operators.detectors import flag_columns
 from fileguard.params import EngineParams
 from fileguard.sources.events import missing_column
+from fileguard.streaming.packed import STATE, append_rows, held_rows, put_rows
 
 MEASURES = ("recent_writes", "recent_renames", "rename_extensions", "recent_files")
-KEYS = ["drive_id", "kind", "shard"]
-_HELD = "t long, id long, writes long, renames long, value string"
-_LEAVING = "t long, writes long, renames long"
-_SEEN = "value string, t long"
-STEPS = "drive_id long, release timestamp, past long, t long, k int, " + ", ".join(f"{m} long" for m in MEASURES) + ", ids array<long>"
-_PENDING = "t long, k int, " + ", ".join(f"{m} long" for m in MEASURES) + ", ids array<long>"
+KEYS = ["shard"]
+#: ``own`` is whether the chunk still has to answer the event; ``token`` is that of a rename, else NULL.
+HELD = ["drive_id", "chunk", "own", "t", "id", "writes", "renames", "file", "token"]
 MEASURED = "drive_id long, id long, ts_us long, " + ", ".join(f"{m} long" for m in MEASURES)
 
-COUNTS, FILES, EXTENSIONS = "counts", "files", "extensions"
-
 
 def mentions(events: DataFrame, params: EngineParams, shards: int) -> DataFrame:
-    """One row for each shard that has to know of an event."""
+    """One row for each chunk that has to know of an event."""
     rename = F.coalesce(F.col("event_type") == "RENAMED", F.lit(False))
     write = F.coalesce(F.col("event_type").isin(*params.detector.write_types), F.lit(False))
     token = text.last_token(F.coalesce(F.col("local_title"), F.lit("")))
-    shard = lambda value: F.pmod(F.xxhash64(value), F.lit(shards)).cast("int")
-    row = lambda kind, by, value: F.struct(F.lit(kind).alias("kind"), shard(by).alias("shard"), value.cast("string").alias("value"))
-    nobody = F.lit(None)
     # Like the batch operator: events without a file share one.
     file = F.coalesce(F.col("stable_id").cast("string"), F.lit(""))
-    told = F.array_compact(F.array(
-        row(COUNTS, F.col("id"), nobody),
-        row(FILES, file, file),
-        F.when(rename, row(EXTENSIONS, token, token)),
-    ))
-    return events.select(
-        "drive_id", "event_time", F.col("ts_us").alias("t"), "id", write.cast("long").alias("writes"), rename.cast("long").alias("renames"), F.explode(told).alias("m")
-    ).select("drive_id", "m.kind", "m.shard", "event_time", "t", "id", "writes", "renames", "m.value")
-
-
-class Steps(StatefulProcessor):
-    """Holds a shard's events until their interval is released; emits the steps of released intervals."""
-
-    def __init__(self, poll_us: int, window_us: int):
-        self.poll_us, self.window_us = poll_us, window_us
+    first, last = slot(F.col("ts_us"), params.scan.chunk_us), slot(F.col("ts_us") + params.detector.window_us, params.scan.chunk_us)
+    told = events.select(
+        "drive_id", "event_time", F.col("ts_us").alias("t"), "id", write.cast("long").alias("writes"), rename.cast("long").alias("renames"),
+        file.alias("file"), F.when(rename, token).alias("token"), first.alias("first"), F.explode(F.sequence(first, last)).alias("chunk"),
+    )
+    shard = F.pmod(F.xxhash64("drive_id", "chunk"), F.lit(shards)).cast("int")
+    return told.withColumns({"own": F.col("chunk") == F.col("first"), "shard": shard}).select(*KEYS, "event_time", *HELD)
+
+
+def trailing_measures(rows: pd.DataFrame, window_us: int, chunk_us: int) -> pd.DataFrame:
+    """``rows`` (any number of chunks) by chunk and time, with the measures of the closed window that ends at each row."""
+    group = rows.groupby(["drive_id", "chunk"], sort=False).ngroup().to_numpy(np.int64)
+    # Places on one line: chunks lie so far apart that no window, and no value that leaves one, reaches the next chunk.
+    place = group * (chunk_us + 2 * window_us + 2) + (rows["t"] - rows["chunk"] * chunk_us + window_us).to_numpy(np.int64)
+    order = np.argsort(place, kind="stable")
+    rows, place = rows.iloc[order], place[order]
+    begin, end = np.searchsorted(place, place - window_us, "left"), np.searchsorted(place, place, "right")
+
+    def counted(name: str) -> np.ndarray:
+        total = np.r_[0, np.cumsum(rows[name].to_numpy(np.int64))]
+        return total[end] - total[begin]
+
+    def distinct(name: str) -> np.ndarray:
+        """A value's stretch begins where it was not seen for a window and ends a window after its last row."""
+        codes = pd.factorize(rows[name])[0]
+        known = np.flatnonzero(codes >= 0)
+        at, value = place[known], codes[known]
+        along = np.lexsort((at, value))
+        at, value = at[along], value[along]
+        opens = np.r_[True, (np.diff(value) != 0) | (np.diff(at) > window_us)][: len(at)]
+        comes, leaves = np.sort(at[opens]), np.sort(at[np.r_[opens[1:], True][: len(at)]]) + window_us
+        return np.searchsorted(comes, place, "right") - np.searchsorted(leaves, place, "left")
+
+    return rows.assign(**dict(zip(MEASURES, (counted("writes"), counted("renames"), distinct("token"), distinct("file")), strict=True)))
+
+
+class Windows(StatefulProcessor):
+    """Holds the events of some chunks until their poll interval is released, then answers them."""
+
+    def __init__(self, poll_us: int, window_us: int, chunk_us: int):
+        self.poll_us, self.window_us, self.chunk_us = poll_us, window_us, chunk_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", _HELD)
-        self.leaving = handle.getListState("leaving", _LEAVING)
-        self.seen = handle.getListState("seen", _SEEN)
+        self.held = handle.getListState("held", STATE)
         self.done: dict[tuple, int] = {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
-            value = [None if pd.isna(v) else v for v in pdf["value"]]
-            numbers = [pdf[c].astype("int64").tolist() for c in ("t", "id", "writes", "renames")]
-            self.held.appendList(list(zip(*numbers, value, strict=True)))
+            append_rows(self.held, pdf[HELD])
             low = int(pdf["t"].min())
             first = low if first is None else min(first, low)
         self._wake(first)
@@ -86,143 +99,43 @@ class Steps(StatefulProcessor):
             self.handle.registerTimer((t // self.poll_us + 1) * self.poll_us // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # One call settles all intervals behind the watermark, whichever timer comes first; all shards agree on that time.
+        # One call settles all intervals behind the watermark, whichever timer comes first.
         past = timerValues.getCurrentWatermarkInMs() * 1000 // self.poll_us * self.poll_us
         if self.done.get(key, -1) >= past:
             return
         self.done[key] = past
-        held = pd.DataFrame(self._rows(self.held), columns=["t", "id", "writes", "renames", "value"])
-        due = held[held["t"] < past] if len(held) else held
-        later = held[held["t"] >= past] if len(held) else held
-        if len(due):
-            self._keep(self.held, later)
-        steps, leaves = self._counted(due, past) if key[1] == COUNTS else self._watched(due, past, MEASURES[3 if key[1] == FILES else 2])
-        waiting = [int(later["t"].min())] if len(later) else []
-        self._wake(min(waiting + ([] if leaves is None else [leaves]), default=None))
-        if len(steps):
-            steps = steps.assign(drive_id=key[0], past=past, release=pd.Timestamp(past, unit="us", tz="UTC"))
-            yield steps[[part.split()[0] for part in STEPS.split(", ")]]
-
-    def _counted(self, due: pd.DataFrame, past: int) -> tuple[pd.DataFrame, int | None]:
-        """Steps of the counts, and when the next one leaves."""
-        leaving = pd.DataFrame(self._rows(self.leaving), columns=["t", "writes", "renames"])
-        new = due[(due["writes"] > 0) | (due["renames"] > 0)] if len(due) else due
-        if len(new):
-            added = new[["t", "writes", "renames"]].assign(t=new["t"] + self.window_us)
-            leaving = pd.concat([leaving, added]).astype("int64").groupby("t", as_index=False).sum()
-        gone = leaving[leaving["t"] < past] if len(leaving) else leaving
-        stays = leaving[leaving["t"] >= past] if len(leaving) else leaving
-        if len(new) or len(gone):
-            self._keep(self.leaving, stays)
-        come = due.groupby("t", as_index=False).agg(writes=("writes", "sum"), renames=("renames", "sum"), ids=("id", list)) if len(due) else due.assign(ids=None)
-        parts = [
-            pd.DataFrame({"t": come["t"], "k": 0, MEASURES[0]: come["writes"], MEASURES[1]: come["renames"], "ids": come["ids"]}),
-            pd.DataFrame({"t": gone["t"], "k": 1, MEASURES[0]: -gone["writes"], MEASURES[1]: -gone["renames"], "ids": [[] for _ in range(len(gone))]}),
-        ]
-        steps = pd.concat([p for p in parts if len(p)]) if any(map(len, parts)) else parts[0]
-        return steps.assign(**{MEASURES[2]: 0, MEASURES[3]: 0}), int(stays["t"].min()) if len(stays) else None
-
-    def _watched(self, due: pd.DataFrame, past: int, name: str) -> tuple[pd.DataFrame, int | None]:
-        """Steps of the values, and when the next one leaves. A value's stretch begins with +1 and ends with -1 after its last
-        event's window."""
-        seen = pd.DataFrame(self._rows(self.seen), columns=["value", "t"])
-        points = pd.concat([seen, due[["value", "t"]]]) if len(due) else seen
-        if not len(points):
-            return pd.DataFrame(columns=["t", "k", *MEASURES, "ids"]), None
-        points = points.assign(old=np.r_[np.ones(len(seen), bool), np.zeros(len(due), bool)])
-        points = points.sort_values(["value", "t", "old"], ascending=[True, True, False], kind="stable").reset_index(drop=True)
-        same = points["value"].eq(points["value"].shift())
-        gap = points["t"].diff().gt(self.window_us)
-        begins = (~same | gap) & ~points["old"]
-        ends_before = same & gap
-        last = ~points["value"].eq(points["value"].shift(-1))
-        t = points["t"].to_numpy(np.int64)
-        over = last.to_numpy() & (t + self.window_us < past)
-        came = t[begins.to_numpy()]
-        gone = np.r_[t[np.flatnonzero(ends_before) - 1], t[over]] + self.window_us
-        stays = points.loc[last.to_numpy() & ~over, ["value", "t"]]
-        if len(due) or over.any():
-            self._keep(self.seen, stays)
-        both = pd.DataFrame({"t": np.r_[came, gone], "k": np.r_[np.zeros(len(came), int), np.ones(len(gone), int)], name: np.r_[np.ones(len(came), int), -np.ones(len(gone), int)]})
-        steps = both.groupby(["t", "k"], as_index=False).sum()
-        steps = steps.assign(**{m: 0 for m in MEASURES if m != name}, ids=[[] for _ in range(len(steps))])
-        return steps, int(stays["t"].min()) + self.window_us if len(stays) else None
-
-    @staticmethod
-    def _rows(state) -> list[tuple]:
-        return [tuple(row) for row in state.get()]
-
-    @staticmethod
-    def _keep(state, rows: pd.DataFrame) -> None:
-        if len(rows):
-            columns = [c.tolist() if c.dtype != object else [None if pd.isna(v) else v for v in c] for _, c in rows.items()]
-            state.put(list(zip(*columns, strict=True)))
-        else:
-            state.clear()
-
-    def close(self) -> None:
-        pass
-
-
-class Totals(StatefulProcessor):
-    """Running totals of a drive over the steps of all its shards."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getListState("pending", _PENDING)
-        self.totals = handle.getValueState("totals", ", ".join(f"{m} long" for m in MEASURES))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        releases: set[int] = set()
-        for pdf in rows:
-            numbers = [pdf[c].astype("int64").tolist() for c in ("t", "k", *MEASURES)]
-            ids = [[int(x) for x in v] if v is not None else [] for v in pdf["ids"]]
-            self.pending.appendList(list(zip(*numbers, ids, strict=True)))
-            releases |= set((pdf["past"] // 1000).unique().tolist())
-        for at in releases:
-            self.handle.registerTimer(at)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        past = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        rows = [tuple(r) for r in self.pending.get()]
-        due, later = [r for r in rows if r[0] < past], [r for r in rows if r[0] >= past]
-        if not due:
+        held = held_rows(self.held)
+        if held is None:
             return
-        if later:
-            self.pending.put(later)
-        else:
-            self.pending.clear()
-        steps = pd.DataFrame(due, columns=["t", "k", *MEASURES, "ids"])
-        sums = steps.groupby(["t", "k"], as_index=False)[list(MEASURES)].sum().sort_values(["t", "k"])
-        before = self.totals.get() if self.totals.exists() else (0,) * len(MEASURES)
-        sums[list(MEASURES)] = sums[list(MEASURES)].cumsum() + np.array(tuple(before), np.int64)
-        self.totals.update(tuple(int(v) for v in sums[list(MEASURES)].iloc[-1]))
-        events = steps.loc[steps["ids"].map(len) > 0, ["t", "ids"]].explode("ids").rename(columns={"ids": "id"})
-        if len(events):
-            out = events.merge(sums[sums["k"] == 0], on="t").rename(columns={"t": "ts_us"})
-            out["drive_id"] = key[0]
-            yield out[["drive_id", "id", "ts_us", *MEASURES]].astype("int64")
+        due = held["t"] < past
+        # Later events are not before ``past`` and not behind the end of their chunk.
+        seen = due & (held["t"] >= past - self.window_us) & ((held["chunk"] + 1) * self.chunk_us > past)
+        later = held[~due]
+        put_rows(self.held, pd.concat([held[seen].assign(own=False), later]))
+        leaves = [int(held.loc[seen, "t"].min()) + self.window_us] if seen.any() else []
+        self._wake(min(([int(later["t"].min())] if len(later) else []) + leaves, default=None))
+        now = held[due]
+        if now["own"].any():
+            out = trailing_measures(now, self.window_us, self.chunk_us)
+            yield out[out["own"]].rename(columns={"t": "ts_us"})[["drive_id", "id", "ts_us", *MEASURES]].astype("int64")
 
     def close(self) -> None:
         pass
 
 
-def window_measures_stream(events: DataFrame, params: EngineParams = EngineParams(), delay: str = "10 seconds", shards: int = 8) -> DataFrame:
+def window_measures_stream(events: DataFrame, params: EngineParams = EngineParams(), delay: str = "10 seconds", shards: int = 64) -> DataFrame:
     """(drive_id, id, ts_us, recent_writes, recent_renames, rename_extensions, recent_files) of every event of a stream, once its
     poll interval lies behind the watermark. Equal to the batch operator for any cut into micro-batches and after a restart.
 
     Events without id, time or drive are left out, and so are those the watermark has passed (see ``streaming.intake``). State
-    holds a window's events and values; it needs a state store that keeps several states of an operator (RocksDB).
+    holds a window's events; timers need a state store that keeps several states of an operator (RocksDB).
     """
     timed = with_event_time(events).withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
     told = mentions(timed.where(behind_watermark(missing_column().isNull())), params, shards)
-    steps = told.groupBy(*KEYS).transformWithStateInPandas(
-        Steps(params.decision.poll_us, params.detector.window_us), STEPS, "append", "EventTime", eventTimeColumnName="release"
-    )
-    return steps.groupBy("drive_id").transformWithStateInPandas(Totals(), MEASURED, "append", "EventTime")
+    windows = Windows(params.decision.poll_us, params.detector.window_us, params.scan.chunk_us)
+    return told.groupBy(*KEYS).transformWithStateInPandas(windows, MEASURED, "append", "EventTime")
 
 
-def flags_stream(events: DataFrame, params: EngineParams = EngineParams(), delay: str = "10 seconds", shards: int = 8) -> DataFrame:
+def flags_stream(events: DataFrame, params: EngineParams = EngineParams(), delay: str = "10 seconds", shards: int = 64) -> DataFrame:
     """``window_measures_stream`` with both flags."""
     return window_measures_stream(events, params, delay, shards).withColumns(flag_columns(params.detector))

@@ -19,7 +19,7 @@ from fileguard.streaming import intake
 from fileguard.streaming.attacks import Attacks, Runs, attacks_stream, runs_of
 from fileguard.streaming.packed import held_rows
 from fileguard.streaming.snapshots import snapshot_events_stream
-from fileguard.streaming.windows import MEASURES, flags_stream
+from fileguard.streaming.windows import KEYS, MEASURES, Windows, flags_stream, mentions
 from tests.test_streaming import make_events, sentinel
 
 #: File events as they arrive: any column may be NULL.
@@ -252,6 +252,39 @@ class Clock:
         return self.ms
 
 
+def test_windows_of_a_busy_key_cost_no_state_element_by_event():
+    n, window, chunk = 30_000, 3_000_000, 10_000_000
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.integers(0, 60_000_000, n)) // 1000 * 1000
+    rows = pd.DataFrame({"drive_id": 1, "t": t, "id": np.arange(n), "writes": rng.integers(0, 2, n), "renames": rng.integers(0, 2, n)})
+    rows["file"] = rng.integers(0, 400, n).astype(str)
+    rows["token"] = [str(x) if r else None for x, r in zip(rng.integers(0, 30, n), rows["renames"], strict=True)]
+    own = rows.assign(chunk=t // chunk, own=True)
+    back = rows.assign(chunk=(t + window) // chunk, own=False)
+    told = pd.concat([own, back[back["chunk"] > own["chunk"]]])
+    processor, handle = Windows(3_000_000, window, chunk), Handle()
+    processor.init(handle)
+    key, out = (0,), []
+    for part, upto in zip((told[told["t"] < 25_000_000], told[told["t"] >= 25_000_000]), (20_000, 90_000), strict=True):
+        assert list(processor.handleInputRows(key, iter([part.sample(frac=1, random_state=1)]), Clock(0))) == []
+        out += list(processor.handleExpiredTimer(key, Clock(upto), None))
+    got = pd.concat(out).sort_values("id")
+    assert handle.states["held"].given < 10 and not handle.states["held"].rows
+    assert got["id"].tolist() == list(range(n))
+    for i in range(0, n, 997):
+        seen = rows[(rows["t"] >= t[i] - window) & (rows["t"] <= t[i])]
+        want = (seen["writes"].sum(), seen["renames"].sum(), seen["token"].nunique(), seen["file"].nunique())
+        assert tuple(got.iloc[i][list(MEASURES)]) == want
+
+
+def test_one_busy_drive_is_dealt_by_its_time(spark):
+    """No operator of the window stream is keyed by the drive alone, and a chunk gets its own rows and a window's look-back."""
+    events = spark.range(20_000).selectExpr("id", "0L drive_id", "1700000000000000 + id * 1000000 ts_us", "timestamp_micros(ts_us) event_time", "id % 9 stable_id", "'CREATED' event_type", "'a' local_title")
+    told = mentions(events, PARAMS, 64)
+    assert "drive_id" not in KEYS and told.count() < 20_000 * 1.01
+    assert told.groupBy(*KEYS).count().agg(F.max("count")).first()[0] < 20_000 / 4
+
+
 def test_runs_over_chunks_and_releases_are_one_attack():
     gap, chunk = 60, 1000
     rng = np.random.default_rng(3)
