@@ -108,7 +108,7 @@ def stream_snapshot_events(spark: SparkSession, d: str) -> DataFrame:
     both = items.unionByName(marks, allowMissingColumns=True).withColumn("part", F.floor(F.col("place") / POLL_CUT).cast("int"))
     shaped = both.select(*(F.col(f.name).cast(f.dataType) for f in ITEMS.fields), "part")
     folder = replayed(
-        spark, shaped, "stream-snapshots", lambda arriving, to: to_files(snapshot_events_stream(arriving, shards=4), to), 129 // POLL_CUT + 1
+        spark, shaped, "stream-snapshots", lambda arriving, to: to_files(snapshot_events_stream(arriving), to), 129 // POLL_CUT + 1
     )
     return spark.read.parquet(f"{folder}/out").drop("batch_id").withColumn("snapshot_ts", F.col("snapshot_ts").cast("bigint"))
 

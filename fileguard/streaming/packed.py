@@ -23,10 +23,11 @@ def put_rows(state, rows: pd.DataFrame) -> None:
         state.clear()
 
 
-def held_rows(state) -> pd.DataFrame | None:
-    """All rows in the order they were added; None if there are none."""
+def held_rows(state, nullable: bool = False) -> pd.DataFrame | None:
+    """All rows in the order they were added; None if there are none. With ``nullable`` whole numbers stay whole beside NULLs."""
     tables = [pa.ipc.open_stream(blob).read_all() for (blob,) in state.get()]
-    return pa.concat_tables(tables, promote_options="permissive").to_pandas() if tables else None
+    kinds = {pa.int64(): pd.Int64Dtype()} if nullable else {}
+    return pa.concat_tables(tables, promote_options="permissive").to_pandas(types_mapper=kinds.get) if tables else None
 
 
 def _pieces(rows: pd.DataFrame) -> list[tuple[bytes]]:

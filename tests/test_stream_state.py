@@ -18,7 +18,7 @@ from fileguard.sources.snapshots import ITEMS
 from fileguard.streaming import intake
 from fileguard.streaming.attacks import Attacks, Runs, attacks_stream, runs_of
 from fileguard.streaming.packed import held_rows
-from fileguard.streaming.snapshots import snapshot_events_stream
+from fileguard.streaming.snapshots import _SIDE, Files, snapshot_events_stream
 from fileguard.streaming.windows import KEYS, MEASURES, Windows, flags_stream, mentions
 from tests.test_streaming import make_events, sentinel
 
@@ -317,3 +317,32 @@ def test_held_events_of_attacks_cost_no_state_element_by_event():
     released = pd.concat(processor.handleExpiredTimer((0,), Clock(100), None))
     assert handle.states["held"].given < 10 and len(handle.timers) == 2
     assert released["events"].tolist() == [10_001] and len(released["names"].iloc[0]) == 7000
+
+
+def test_a_poll_of_many_files_is_compared_as_a_table():
+    """Cuts inside polls, an empty poll, NULLs beside large numbers; state has few elements and no object by file."""
+    n, rng = 30_000, np.random.default_rng(7)
+    polls = {}
+    for sid in range(1, 8):
+        k = np.flatnonzero(rng.random(n) < 0.9) if sid != 4 else np.array([], np.int64)
+        polls[sid] = pd.DataFrame({
+            "snapshot_id": sid, "snapshot_ts": sid * 5.0, "stable_id": k, "local_title": [None if i % 11 == 0 else f"f{i % 97 + (sid > 5 and i % 5 == 0)}" for i in k],
+            "modified_date": k % 3, "file_size": np.where(k % 13 == 0, np.nan, k % 7), "trashed": (k % 17 == 5) & (sid > 2), "full_path": "x", "mark": False,
+        }).astype({"trashed": "int64"})
+    mark = lambda sid: pd.DataFrame([{"snapshot_id": sid, "snapshot_ts": sid * 5.0, "stable_id": 0, "mark": True}]).reindex(columns=polls[1].columns)
+    processor, handle, out = Files(), Handle(), []
+    processor.init(handle)
+    parts = [[polls[1], mark(1), polls[2].iloc[:9000]], [polls[2].iloc[9000:]], [mark(2), polls[3].iloc[:50], mark(2)], [polls[3].iloc[50:], mark(4), mark(3), polls[5], mark(5), polls[6], polls[2]], [polls[6].iloc[:9], mark(6), polls[7], mark(7), mark(1)]]
+    for part in parts:
+        out += list(processor.handleInputRows((0, 0), iter(part), None))
+    got = pd.concat(out, ignore_index=True)
+    plain = lambda rows: {r[0]: tuple(None if pd.isna(v) else v for v in r[1:]) for r in rows[["stable_id", *_SIDE]].itertuples(index=False, name=None)}
+    want = set()
+    for sid in range(2, 8):
+        p, c = plain(polls[sid - 1]), plain(polls[sid])
+        want |= {(sid, sid * 5.0, f, p.get(f), c.get(f)) for f in p.keys() | c.keys() if p.get(f) != c.get(f)}
+    side = lambda name: [tuple(None if pd.isna(v) else v for v in r) for r in got[[f"{name}_{c}" for c in _SIDE]].itertuples(index=False, name=None)]
+    sides = zip(got["snapshot_id"], got["snapshot_ts"], got["stable_id"], got["was"], side("p"), got["is"], side("c"), strict=True)
+    found = [(s, t, f, p if was else None, c if there else None) for s, t, f, was, p, there, c in sides]
+    assert len(found) == len(want) and set(found) == want
+    assert handle.states["files"].given < 20 and handle.states["held"].given < 20 and not handle.states["held"].rows
